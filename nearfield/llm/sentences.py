@@ -112,7 +112,8 @@ def _left(text: str, at: int) -> tuple[str, str]:
     part = text[max(0, at - 48) : at].rstrip()
     if part and _DENSE.match(part[-1]):
         part = _LATIN.sub("w", _DIGITS.sub("#", part[-16:]))
-        return part[-3:], part[-6:]
+        short = 3 if _UNSTOPPED.match(part[-1]) else 2
+        return part[-short:], part[-2 * short :]
     tokens = part.split()[-2:]
     if not tokens:
         return "", ""
@@ -155,7 +156,9 @@ def _kind(mark: str) -> str:
     stripped = "".join(c for c in mark if c not in CLOSERS and not c.isspace())
     if not stripped:
         return "_"
-    if "…" in stripped or stripped.startswith(".."):
+    if stripped.startswith(".."):
+        return "..."
+    if "…" in stripped:
         return "…"
     return stripped[-1] if len(set(stripped)) == 1 else stripped[-1] + "+"
 
@@ -343,7 +346,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often contexts stand at candidates, and at paragraph ends and starts."""
     seen, edge = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     general = np.zeros((2, 2), np.int64)
+    documents = 0
     for batch in batches:
+        documents += len(batch)
         inner: list[tuple[int, ...]] = []
         lefts: list[tuple[int, ...]] = []
         rights: list[tuple[int, ...]] = []
@@ -364,7 +369,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         general += [[len(inner) + len(lefts), len(lefts)], [len(inner) + len(rights), len(rights)]]
     at = np.flatnonzero(seen)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.r_[at, [-1, -2]]), pa.array(np.r_[seen[at], general[:, 0]]), pa.array(np.r_[edge[at], general[:, 1]])], ["bucket", "seen", "edge"]
+        [pa.array(np.r_[at, [-1, -2, -3]]), pa.array(np.r_[seen[at], general[:, 0], documents]), pa.array(np.r_[edge[at], general[:, 1], 0])], ["bucket", "seen", "edge"]
     )
 
 
@@ -424,15 +429,16 @@ def sentences(spark: SparkSession, df: DataFrame, key: str, text: str, cells: st
     """
     docs = _text_cells(df, key, text, cells, None)
     kind = dict(docs.dtypes)["doc"]
-    counts = docs.mapInArrow(_count, "bucket long, seen long, edge long").groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("edge").alias("edge")).toArrow()  # BUCKETS + 2 rows at most
+    counts = docs.mapInArrow(_count, "bucket long, seen long, edge long").groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("edge").alias("edge")).toArrow()  # BUCKETS + 3 rows at most
     table_, general = np.zeros((BUCKETS, 2), np.float32), np.full(2, 0.3)
     at, seen, edge = (counts.column(c).to_numpy() for c in ("bucket", "seen", "edge"))
     table_[at[at >= 0], 0], table_[at[at >= 0], 1] = seen[at >= 0], edge[at >= 0]
     for side in (-1, -2):
         if (seen[at == side] > 0).any():
             general[-side - 1] = float(edge[at == side][0]) / float(seen[at == side][0])
-    some = docs.orderBy(F.xxhash64("doc", F.lit(13))).limit(sample)
-    first = some.mapInArrow(_first_paragraphs, "text string").limit(SAMPLE_PARAGRAPHS).toArrow().column(0).to_pylist()
+    n = int(seen[at == -3].sum())
+    some = docs.where(F.pmod(F.xxhash64("doc", F.lit(13)), F.lit(1 << 20)) < int(min(1.0, sample / max(n, 1)) * (1 << 20)))
+    first = some.mapInArrow(_paragraphs, "text string").orderBy(F.xxhash64("text")).limit(SAMPLE_PARAGRAPHS).toArrow().column(0).to_pylist()  # bounded
     chain = train(table_, general, first)
     model = spark.sparkContext.broadcast((table_, general, chain))
 
@@ -473,7 +479,7 @@ def sentences(spark: SparkSession, df: DataFrame, key: str, text: str, cells: st
     return docs.mapInArrow(tag, f"doc {kind}, start_pos int, end_pos int").withColumnRenamed("doc", key)
 
 
-def _first_paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = [p for _, _, body in _texts(batch) for a, b, whole in units(body) if not whole and (p := body[a:b].strip())]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["text"])
