@@ -166,7 +166,7 @@ class HNSWIndex:
                 return nearest(spark, asked, base, self.dim, k, self.metric)
             width = min(int(max(width, k / max(n_allowed / self.n, 1e-9))), self.n)
             nodes = self.nodes.join(base.select("vec_id", F.lit(True).alias("ok")), "vec_id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
-        every = self.nodes.select("shard").distinct()
+        every = self.nodes.select((F.col("shard") + 0).alias("shard")).distinct()
         chunk = F.pmod(F.xxhash64("qid"), F.lit(8)).cast("int")
         left = asked.join(F.broadcast(every)).select("shard", chunk.alias("chunk"), "qid", "v")  # shards are n / shard_rows
         right = nodes.select("shard", F.explode(F.array(*map(F.lit, range(8)))).alias("chunk"), "vec_id", "v", "entry", "links", "ok")
