@@ -116,7 +116,7 @@ def mixture(spark: SparkSession, docs: DataFrame, key: str, sources: str, size:
         return F.greatest(F.ceil((F.col(bound) - F.col("at")) / F.col("round")), F.lit(0))
 
     uses = placed.join(tape, "set").withColumn("uses", (rounds("high") - rounds("low")).cast("int")).where("uses > 0").select(F.col("key").alias(key), "source", "uses", F.col("size").alias(size))
-    lines = [(g["source"], float(g["share"]), int(g["repeats"]), quota[k], met[k], bool(met[k] < quota[k] - 1e-9 * max(1.0, total))) for k, g in enumerate(goals)]
+    lines = [(g["source"], float(g["share"]), int(g["repeats"]), float(quota[k]), float(met[k]), bool(met[k] < quota[k] - 1e-9 * max(1.0, total))) for k, g in enumerate(goals)]
     plan = spark.createDataFrame(lines, "source string, target_share double, max_repeats int, target double, planned double, short boolean")
     got = uses.groupBy("source").agg(F.sum(F.col("uses") * F.col(size)).alias("reached"), F.sum("uses").alias("uses"), F.max("uses").alias("most_uses"))
     share = F.coalesce(F.col("reached"), F.lit(0)) / F.lit(float(max(total, 1)))

@@ -34,6 +34,7 @@ _C = re.escape(CLOSERS)
 CANDIDATE = re.compile(
     rf"(?:[{re.escape(STOPS)}…]+(?:[ \u00a0\u202f]?[»›]|[{_C}])*)+(?=\s)"
     rf"|(?:[{re.escape(STOPS + WIDE)}]*[{re.escape(WIDE)}][{re.escape(STOPS + WIDE)}]*[{_C}]*)+"
+    rf"|(?<=[\w)\]`%])[.!?](?=[A-ZÀ-ÖØ-ÞΆ-Ω])"
     rf"|(?<=[\u0370-\u03ff\u1f00-\u1fff])[;\u037e][{_C}]*(?=\s)"
     rf"|(?<=\S)[ \t\r\n\u00a0\u3000]+(?=\S)"
 )
