@@ -103,7 +103,7 @@ def nearest(spark: SparkSession, queries: DataFrame, base: DataFrame, dim: int,
     shuffle but for the results. More are cut, like the vectors, into shares that meet
     pairwise, so nothing that grows is broadcast.
     """
-    metric = check_metric(metric)
+    metric, base = check_metric(metric), base.select("vec_id", "v")
     limit = max_bytes // (8 * max(dim, 1))
     few = queries.select("qid", "v").limit(limit + 1).toArrow()
     if few.num_rows <= limit:

@@ -185,7 +185,7 @@ _SHOWN = "SELECT qid, CAST(rn AS INTEGER) AS rn, row_id, track_id, round(dist, 4
 def _lines(method: str) -> str:
     one = "avg({c}) AS center, stddev_pop({c}) AS s" if method == "zscore" else "min({c}) AS center, max({c}) - min({c}) AS s"
     parts = " UNION ALL ".join(f"SELECT '{c}' AS feature, {one.format(c=c)} FROM lineitem" for c in COLUMNS)
-    return f"SELECT feature, round(center, 6) AS center, round(CASE WHEN s = 0 THEN 1 ELSE s END, 6) AS scale FROM ({parts})"
+    return f"SELECT feature, round(center, 6) + 0.0 AS center, round(CASE WHEN s = 0 THEN 1 ELSE s END, 6) AS scale FROM ({parts})"
 
 
 SQL = {

@@ -270,7 +270,7 @@ _PROBED = f"{_LLOYD},\n{probes(f'c{STEPS}', NPROBE)}"
 _SEEN = f"f AS (SELECT qid, vec_id, list_distance(q, v) AS dist FROM p JOIN a{STEPS} USING (cell) WHERE {{}})\n"
 _BOUNDS = subspace_bounds(DIM, M)
 _PQ = f"WITH {VECTORS},\n{books('e', _BOUNDS, KSUB, PQ_STEPS)}"
-_MINUS = "list_transform(list_zip({0}, {1}), z -> z[1] - z[2])"
+_MINUS = "list_transform(list_zip({0}, {1}), lambda z: z[1] - z[2])"
 _CODES = f"""{_LLOYD},
 o AS (SELECT vec_id, label, cell, {_MINUS.format('v', 'c')} AS v FROM a{STEPS} JOIN c{STEPS} USING (cell)),
 {books('o', _BOUNDS, KSUB, PQ_STEPS)},
@@ -283,9 +283,9 @@ SQL = {
     "knn_l2": f"WITH {VECTORS},\n{knn(_L2, K)}",
     "knn_sqeuclidean": f"WITH {VECTORS},\n{knn(f'power({_L2}, 2)', K)}",
     "knn_cosine": f"WITH {VECTORS},\n{knn(_COSINE, K)}",
-    "knn_k_capped": f"WITH {VECTORS}, some AS (SELECT * FROM e WHERE label = 0),\n{knn(_L2, 100_000, 'some')}",
-    "knn_filter_label": f"WITH {VECTORS}, some AS (SELECT * FROM e WHERE {_LABEL}),\n{knn(_L2, K, 'some')}",
-    "knn_filter_ids": f"WITH {VECTORS}, some AS (SELECT * FROM e WHERE vec_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')),\n{knn(_L2, K, 'some')}",
+    "knn_k_capped": f"WITH {VECTORS}, few AS (SELECT * FROM e WHERE label = 0),\n{knn(_L2, 100_000, 'few')}",
+    "knn_filter_label": f"WITH {VECTORS}, few AS (SELECT * FROM e WHERE {_LABEL}),\n{knn(_L2, K, 'few')}",
+    "knn_filter_ids": f"WITH {VECTORS}, few AS (SELECT * FROM e WHERE vec_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')),\n{knn(_L2, K, 'few')}",
     "knn_similarity": f"WITH {VECTORS},\n{knn(_L2, K, out='round(1 / (1 + dist), 3) AS similarity')}",
     "label_distances": f"""WITH {VECTORS}, b AS (SELECT label, min_by(v, vec_id) AS v FROM e GROUP BY label)
 SELECT a.vec_id, round({_L2}, 6) + 0.0 AS l2, round(power({_L2}, 2), 6) + 0.0 AS sqeuclidean, round({_COSINE}, 6) + 0.0 AS cosine FROM e a JOIN b ON a.label = b.label""",
@@ -296,7 +296,7 @@ SELECT a.vec_id, round({_L2}, 6) + 0.0 AS l2, round(power({_L2}, 2), 6) + 0.0 AS
     "ivf_probe_cells": f"{_PROBED} SELECT qid, CAST(rn AS INTEGER) AS rn, cell FROM p",
     "ivf_search": f"{_PROBED},\n{_SEEN.format('true')}{best('f', K)}",
     "ivf_search_filtered": f"{_PROBED},\n{_SEEN.format(_LABEL)}{best('f', K)}",
-    "ivf_selective": f"WITH {VECTORS}, some AS (SELECT * FROM e WHERE {_FEW}),\n{knn(_L2, K, 'some')}",
+    "ivf_selective": f"WITH {VECTORS}, few AS (SELECT * FROM e WHERE {_FEW}),\n{knn(_L2, K, 'few')}",
     "ivf_full_probe": f"WITH {VECTORS},\n{knn(_L2, K)}",
     "ivf_saved": f"{_PROBED},\n{_SEEN.format('true')}{best('f', K)}",
     "pq_codebooks": f"{_PQ} SELECT sub, code, CAST(pos - 1 AS INTEGER) AS pos, round(value, 6) + 0.0 AS value FROM (SELECT sub, code, unnest(c) AS value, generate_subscripts(c, 1) AS pos FROM book)",
@@ -310,7 +310,7 @@ short AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY
 g AS (SELECT qid, e.vec_id, list_distance(q, e.v) AS dist FROM short JOIN e ON e.vec_id = short.vec_id)
 {best('g', K)}""",
     "ivfpq_filtered": _CODES.format(cells=NPROBE, where=_LABEL) + best("f", K, _ROOT),
-    "ivfpq_selective": f"WITH {VECTORS}, some AS (SELECT * FROM e WHERE {_FEW}),\n{knn(_L2, K, 'some')}",
+    "ivfpq_selective": f"WITH {VECTORS}, few AS (SELECT * FROM e WHERE {_FEW}),\n{knn(_L2, K, 'few')}",
     "ivfpq_compressed_selective": _CODES.format(cells=NLIST, where="o." + _FEW) + best("f", K, _ROOT),
     "ivf_recall": f"""{_LLOYD}, {probes(f'c{STEPS}', 1)},
 f AS (SELECT qid, vec_id, list_distance(q, v) AS dist FROM p JOIN a{STEPS} USING (cell)),
@@ -320,6 +320,6 @@ truth AS ({best('x', K)})
 SELECT t.qid, round(count(f.vec_id) / CAST(count(*) AS DOUBLE), 6) AS recall FROM truth t LEFT JOIN found f ON f.qid = t.qid AND f.vec_id = t.vec_id GROUP BY t.qid""",
     "latency_percentile": "SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean FROM events GROUP BY event_type",
     "hnsw_full_beam": f"WITH {VECTORS},\n{knn(_L2, K)}",
-    "hnsw_selective": f"WITH {VECTORS}, some AS (SELECT * FROM e WHERE {_FEW}),\n{knn(_L2, K, 'some')}",
+    "hnsw_selective": f"WITH {VECTORS}, few AS (SELECT * FROM e WHERE {_FEW}),\n{knn(_L2, K, 'few')}",
     "stream_assign": f"{_LLOYD} SELECT vec_id, cell FROM a{STEPS}",
 }
