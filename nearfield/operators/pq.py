@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.arrays import dense, dimension, lists, usable
 from nearfield.functions.metrics import block_sq
+from nearfield.operators.blocks import MAX_BROADCAST_BYTES, SCHEMA, TASK_ROWS, ranked
 from nearfield.operators.kmeans import SEED_ROWS, plus_plus
 
 
@@ -110,14 +111,17 @@ class ProductQuantizer:
 
         return codes.select("vec_id", "codes").mapInArrow(back, "vec_id long, embedding array<double>")
 
-    def adc(self, spark: SparkSession, queries: DataFrame, codes: DataFrame, k: int) -> DataFrame:
-        """``qid, vec_id, rn, d2``: nearest codes by table look-up; queries must fit a broadcast."""
-        from nearfield.operators.blocks import MAX_BROADCAST_BYTES, SCHEMA, ranked
+    def adc(self, spark: SparkSession, queries: DataFrame, codes: DataFrame, k: int, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+        """``qid, vec_id, rn, d2``: nearest codes by table look-up.
 
-        limit = MAX_BROADCAST_BYTES // (8 * self.m * self.ksub)
-        few = queries.where(usable(F.col("qvec"), self.dim)).select("qid", "qvec").limit(limit + 1).collect()
+        Tables of at most ``max_bytes`` are broadcast and the codes scanned; for more
+        queries, shares of queries and codes meet pairwise.
+        """
+        asked = queries.where(usable(F.col("qvec"), self.dim)).select(F.col("qid").cast("long").alias("qid"), F.col("qvec").cast("array<double>").alias("qvec"))
+        limit = max_bytes // (8 * self.m * self.ksub)
+        few = asked.limit(limit + 1).collect()
         if len(few) > limit:
-            raise ValueError(f"more than {limit} queries at once")
+            return self._adc_shares(spark, asked, codes, k)
         tables = np.stack([self.table(np.array(r["qvec"], np.float64)) for r in few]) if few else np.zeros((0, self.m, self.ksub))
         shared, m = spark.sparkContext.broadcast((np.array([r["qid"] for r in few], np.int64), tables)), self.m
 
@@ -133,6 +137,24 @@ class ProductQuantizer:
 
         return ranked(codes.select("vec_id", "codes").mapInArrow(look, SCHEMA), k).withColumnRenamed("dist", "d2")
 
+    def _adc_shares(self, spark: SparkSession, asked: DataFrame, codes: DataFrame, k: int) -> DataFrame:
+        qs, bs = (max(1, -(-df.count() // TASK_ROWS)) for df in (asked, codes))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = asked.select("qid", "qvec", F.pmod(F.xxhash64("qid"), F.lit(qs)).cast("int").alias("a"), every(bs).alias("b"))
+        right = codes.select("vec_id", "codes", every(qs).alias("a"), F.pmod(F.xxhash64("vec_id"), F.lit(bs)).cast("int").alias("b"))
+        model = spark.sparkContext.broadcast(self)
+
+        def look(q: pa.Table, c: pa.Table) -> pa.Table:
+            if not q.num_rows or not c.num_rows:
+                return pa.table({"qid": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "dist": np.zeros(0)})
+            pq, ids = model.value, c.column("vec_id").to_numpy()
+            known = c.column("codes").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, pq.m).astype(np.int64)
+            out = [best_codes(pq.table(np.array(v)), known, ids, k) for v in q.column("qvec").to_pylist()]
+            return pa.table({"qid": np.repeat(q.column("qid").to_numpy(), [len(i) for i, _ in out]), "vec_id": np.concatenate([i for i, _ in out]), "dist": np.concatenate([d for _, d in out])})
+
+        found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(look, SCHEMA)
+        return ranked(found, k).withColumnRenamed("dist", "d2")
+
     def table(self, q: np.ndarray) -> np.ndarray:
         """Squared distances of a query's parts to all entries; what a shorter book lacks is infinite."""
         out = np.full((self.m, self.ksub), np.inf)

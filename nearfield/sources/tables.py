@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``; filters and columns reach the scan."""
@@ -33,18 +34,16 @@ def materialise(spark: SparkSession, df: DataFrame, name: str = "part") -> DataF
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage: a lost executor makes Spark read the files again, not
-    repeat the work before them.
+    repeat the work before them. ``forget`` deletes them.
     """
     path = f"{shared_dir(spark)}/nearfield-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_materialised(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a materialised table that nothing reads any more."""
-    jvm = spark._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(os.path.dirname(file))
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if "/nearfield-" in path.toString():
-            fs.delete(path, True)
+def forget(spark: SparkSession) -> None:
+    """Delete what ``materialise`` wrote; results that still read it must be saved before."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

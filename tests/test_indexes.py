@@ -120,6 +120,8 @@ def test_pq(spark, blobs):
     q = as_queries(blobs.where("vec_id = 7"))
     d = {r["vec_id"]: r["d2"] for r in pq.adc(spark, q, codes, 600).collect()}
     assert np.corrcoef([d[i] for i in range(600)], ((x - x[7]) ** 2).sum(1))[0, 1] > 0.95
+    some = as_queries(blobs.where("vec_id < 9"))
+    assert rows(pq.adc(spark, some, codes, 5, max_bytes=0)) == rows(pq.adc(spark, some, codes, 5))
     assert pq.memory_bytes(600) == 600 * 4 + sum(4 * b.size for b in pq.books)
     with pytest.raises(ValueError):
         ProductQuantizer(ksub=512)
