@@ -107,6 +107,18 @@ def run_benchmark(
     return out
 
 
+def compare_kernels(spark: SparkSession, corpus: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """``kernel, seconds, recall, max_diff``: column expressions against products of blocks."""
+    from nearfield.operators.exact import exact_knn, expression_knn
+
+    a, a_s = timed(lambda: expression_knn(queries, corpus, k))
+    b, b_s = timed(lambda: exact_knn(spark, queries, corpus, k))
+    both = a.join(b.select("qid", "rn", F.col("dist").alias("other")), ["qid", "rn"])
+    diff = both.agg(F.max(F.abs(F.col("dist") - F.col("other")))).first()[0] or 0.0
+    rows = [("expression", float(np.median(a_s)), 1.0, 0.0), ("block", float(np.median(b_s)), mean_recall(a, b), float(diff))]
+    return spark.createDataFrame(rows, "kernel string, seconds double, recall double, max_diff double")
+
+
 def results_frame(spark: SparkSession, results: list[BenchResult]) -> DataFrame:
     rows = [(r.index, ", ".join(f"{k}={v}" for k, v in r.params.items()), r.recall_at_k, r.mean_latency_ms, r.p95_latency_ms, r.qps, r.build_time_s, r.memory_mb, r.n_queries, r.k) for r in results]
     return spark.createDataFrame(rows, "index string, params string, recall_at_k double, mean_latency_ms double, p95_latency_ms double, qps double, build_time_s double, memory_mb double, n_queries int, k int")

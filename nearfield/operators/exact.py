@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.functions.arrays import dimension, packed
-from nearfield.functions.metrics import check_metric
-from nearfield.operators.blocks import nearest
+from nearfield.functions.arrays import dimension, packed, usable
+from nearfield.functions.metrics import check_metric, distance
+from nearfield.operators.blocks import nearest, ranked
 from nearfield.operators.filters import allow
 
+MAX_QUERIES = 10_000
+
 
 def exact_knn(
     spark: SparkSession,
@@ -35,6 +37,28 @@ def exact_knn(
     return nearest(spark, packed(queries, dim, "qvec", "qid"), packed(base, dim, "embedding", "vec_id"), dim, k, metric)
 
 
+def expression_knn(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "l2", dim: int | None = None, max_queries: int = MAX_QUERIES) -> DataFrame:
+    """The same by column expressions alone, for a stated set of at most ``max_queries`` queries.
+
+    The queries are broadcast and the window is limited before its shuffle, so a task
+    passes on k rows a query. Slower than ``exact_knn``, which multiplies blocks.
+    """
+    dim = dim or dimension(corpus, "embedding")
+    asked = queries.where(usable(F.col("qvec"), dim)).select("qid", "qvec")
+    if asked.limit(max_queries + 1).count() > max_queries:
+        raise ValueError(f"more than {max_queries} queries; use exact_knn")
+    base = corpus.where(usable(F.col("embedding"), dim)).select("vec_id", "embedding")
+    pairs = base.join(F.broadcast(asked))
+    return ranked(pairs.select("qid", "vec_id", distance(F.col("qvec"), F.col("embedding"), metric, dim).alias("dist")), k)
+
+
+def nearest_to(point: list[float], corpus: DataFrame, k: int = 10, metric: str = "l2") -> DataFrame:
+    """``vec_id, dist`` of the k nearest to one point: a sort that keeps k rows a task."""
+    q = F.array(*(F.lit(float(x)) for x in point))
+    base = corpus.where(usable(F.col("embedding"), len(point)))
+    return base.select("vec_id", distance(F.col("embedding"), q, metric, len(point)).alias("dist")).orderBy("dist", "vec_id").limit(k)
+
+
 def as_queries(corpus: DataFrame) -> DataFrame:
     """Every vector of a corpus as a query."""
     return corpus.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions.metrics import distance, similarity
-from nearfield.operators.evaluate import recall_at_k, results_frame, run_benchmark
-from nearfield.operators.exact import as_queries, exact_knn
+from nearfield.operators.evaluate import compare_kernels, recall_at_k, results_frame, run_benchmark
+from nearfield.operators.exact import as_queries, exact_knn, expression_knn
 from nearfield.operators.hnsw import HNSWIndex
 from nearfield.operators.ivf import IVFIndex, probe
 from nearfield.operators.ivfpq import IVFPQIndex
@@ -212,6 +212,16 @@ def benchmark_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results_frame(spark, run_benchmark(spark, e, as_queries(e), ksub=64))
 
 
+def knn_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _corpus(spark, sf_dir)
+    return _shown(expression_knn(as_queries(e), e, K))
+
+
+def kernel_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _corpus(spark, sf_dir)
+    return compare_kernels(spark, e, as_queries(e), K)
+
+
 def stream_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The embeddings as a stream of files, appended to their cells."""
     model, _ = _kmeans(spark, sf_dir)
@@ -229,6 +239,8 @@ QUERIES = {
     "knn_filter_label": _knn("l2", K, _by_label),
     "knn_filter_ids": _knn("l2", K, _of_users),
     "knn_similarity": knn_similarity,
+    "knn_expression": knn_expression,
+    "kernel_comparison": kernel_comparison,
     "label_distances": label_distances,
     "kmeans_assign": kmeans_assign,
     "kmeans_lloyd": kmeans_lloyd,
@@ -286,6 +298,7 @@ SQL = {
     "knn_k_capped": f"WITH {VECTORS}, few AS (SELECT * FROM e WHERE label = 0),\n{knn(_L2, 100_000, 'few')}",
     "knn_filter_label": f"WITH {VECTORS}, few AS (SELECT * FROM e WHERE {_LABEL}),\n{knn(_L2, K, 'few')}",
     "knn_filter_ids": f"WITH {VECTORS}, few AS (SELECT * FROM e WHERE vec_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')),\n{knn(_L2, K, 'few')}",
+    "knn_expression": f"WITH {VECTORS},\n{knn(_L2, K)}",
     "knn_similarity": f"WITH {VECTORS},\n{knn(_L2, K, out='round(1 / (1 + dist), 3) AS similarity')}",
     "label_distances": f"""WITH {VECTORS}, b AS (SELECT label, min_by(v, vec_id) AS v FROM e GROUP BY label)
 SELECT a.vec_id, round({_L2}, 6) + 0.0 AS l2, round(power({_L2}, 2), 6) + 0.0 AS sqeuclidean, round({_COSINE}, 6) + 0.0 AS cosine FROM e a JOIN b ON a.label = b.label""",

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from nearfield.operators.blocks import nearest, within_cells
 from nearfield.functions.arrays import packed
-from nearfield.operators.evaluate import markdown, mean_recall, recall_at_k, results_frame, run_benchmark
-from nearfield.operators.exact import as_queries, exact_knn
+from nearfield.operators.evaluate import compare_kernels, markdown, mean_recall, recall_at_k, results_frame, run_benchmark
+from nearfield.operators.exact import as_queries, exact_knn, expression_knn, nearest_to
 from nearfield.operators.filters import allow, is_selective
 from nearfield.operators.hnsw import HNSWIndex
 from nearfield.operators.ivf import IVFIndex
@@ -47,6 +47,16 @@ def test_exact_matches_brute_force(spark, uniform, asked):
     assert rows(shares) == sorted(want)
 
 
+def test_expressions_agree(spark, uniform, asked):
+    assert rows(expression_knn(asked, uniform, 10)) == rows(exact_knn(spark, asked, uniform, 10))
+    one = asked.where("qid >= 0").orderBy("qid").first()
+    near = [r["vec_id"] for r in nearest_to(list(one["qvec"]), uniform, 5).collect()]
+    assert near == [v for q, _, v in rows(exact_knn(spark, asked, uniform, 5)) if q == one["qid"]]
+    with pytest.raises(ValueError):
+        expression_knn(asked, uniform, 10, max_queries=5)
+    assert [r["recall"] for r in compare_kernels(spark, uniform, asked, 5).collect()] == [1.0, 1.0]
+
+
 def test_bad_vectors_are_left_out(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0], 5), (2, None, 5), (3, [1.0], 5), (4, [float("nan"), 1.0], 5), (5, [0.0, 0.0], 5), (6, [1.0, None], 5)], "vec_id long, embedding array<double>, dist long")
     q = spark.createDataFrame([(0, [0.0, 0.0])], "qid long, qvec array<double>")
