@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions.arrays import binary, dimension, matrix, packed
-from nearfield.functions.metrics import check_metric, rowwise
+from nearfield.functions.metrics import block, check_metric, rowwise
 from nearfield.operators.blocks import SCHEMA, nearest, ranked
 from nearfield.operators.filters import allow, is_selective
 
@@ -22,9 +22,9 @@ SHARD_ROWS = 50_000
 class Graph:
     """The graph of one shard, on places 0..n-1 of its matrix."""
 
-    def __init__(self, x: np.ndarray, metric: str, links: list[dict[int, np.ndarray]] | None = None, entry: int = -1):
+    def __init__(self, x: np.ndarray, metric: str, links: list[dict[int, list[int]]] | None = None, entry: int = -1):
         self.x, self.metric = x, metric
-        self.layers: list[dict[int, np.ndarray]] = links or []
+        self.layers: list[dict[int, list[int]]] = links or []
         self.entry = entry
 
     def away(self, q: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -59,22 +59,29 @@ class Graph:
 
     def spread(self, near: list[tuple[float, int]], count: int) -> list[int]:
         """Up to ``count`` neighbours in different directions: each nearer to the node than to those taken; the rest filled with the nearest."""
-        taken: list[int] = []
-        spare: list[int] = []
-        for d, p in near:
-            if len(taken) == count:
+        if len(near) <= 1:
+            return [p for _, p in near[:count]]
+        d, p = np.array([d for d, _ in near]), np.array([p for _, p in near])
+        between = block(self.x[p], self.x[p], self.metric)
+        free, taken = np.ones(len(p), bool), []
+        while len(taken) < count:
+            first = int(free.argmax())
+            if not free[first]:
                 break
-            if not taken or (self.away(self.x[p], np.array(taken)) >= d).all():
-                taken.append(p)
-            else:
-                spare.append(p)
-        return taken + spare[: count - len(taken)]
+            taken.append(first)
+            free &= between[first] >= d
+            free[first] = False
+        if len(taken) < count:
+            rest = np.ones(len(p), bool)
+            rest[taken] = False
+            taken += np.flatnonzero(rest)[: count - len(taken)].tolist()
+        return p[taken].tolist()
 
     def build(self, m: int, width: int, levels: np.ndarray, order: np.ndarray) -> Graph:
         for p in order.tolist():
             top = int(levels[p])
             if self.entry < 0:
-                self.layers = [{p: np.zeros(0, np.int64)} for _ in range(top + 1)]
+                self.layers = [{p: []} for _ in range(top + 1)]
                 self.entry = p
                 continue
             q, highest = self.x[p], len(self.layers) - 1
@@ -85,15 +92,15 @@ class Graph:
                 at = self.beam(q, at, width, layer)
                 most, links = (2 * m if layer == 0 else m), self.layers[layer]
                 chosen = self.spread(at, m)
-                links[p] = np.array(chosen)
+                links[p] = chosen
                 for t in chosen:
-                    both = np.append(links[t], p)
+                    both = [*links[t], p]
                     if len(both) > most:
-                        d = self.away(self.x[t], both)
-                        both = np.array(self.spread(sorted(zip(d.tolist(), both.tolist())), most))
+                        d = self.away(self.x[t], np.array(both))
+                        both = self.spread(sorted(zip(d.tolist(), both)), most)
                     links[t] = both
             for _ in range(top - highest):
-                self.layers.append({p: np.zeros(0, np.int64)})
+                self.layers.append({p: []})
                 self.entry = p
         return self
 
@@ -137,7 +144,7 @@ class HNSWIndex:
             rng = np.random.default_rng([seed, int(table.column("shard")[0].as_py())])
             levels = np.floor(-np.log(np.maximum(rng.random(len(ids)), 1e-12)) * scale).astype(np.int64)
             g = Graph(x, metric).build(m, width, levels, rng.permutation(len(ids)))
-            links = [[ids[layer[p]].tolist() for layer in g.layers[: levels[p] + 1]] for p in range(len(ids))]
+            links = [[ids[np.array(layer[p], np.int64)].tolist() for layer in g.layers[: levels[p] + 1]] for p in range(len(ids))]
             return pa.table(
                 {
                     "shard": table.column("shard"), "vec_id": table.column("vec_id"), "v": binary(x), "level": pa.array(levels.astype(np.int32)),
@@ -177,12 +184,12 @@ class HNSWIndex:
                 return pa.table({"qid": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "dist": np.zeros(0)})
             n = n.sort_by("vec_id")
             ids, x, ok = n.column("vec_id").to_numpy(), matrix(n.column("v"), dim, "f8"), n.column("ok").to_numpy()
-            layers: list[dict[int, np.ndarray]] = []
+            layers: list[dict[int, list[int]]] = []
             for p, links in enumerate(n.column("links").to_pylist()):
                 while len(layers) < len(links):
                     layers.append({})
                 for layer, to in enumerate(links):
-                    layers[layer][p] = np.searchsorted(ids, np.array(to, np.int64))
+                    layers[layer][p] = np.searchsorted(ids, np.array(to, np.int64)).tolist()
             g = Graph(x, metric, layers, int(n.column("entry").to_numpy().argmax()))
             out = []
             for qid, vector in zip(q.column("qid").to_pylist(), matrix(q.column("v"), dim, "f8")):
