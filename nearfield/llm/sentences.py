@@ -25,6 +25,7 @@ SAMPLE_PARAGRAPHS = 4_000
 WIDE = "。！？｡．⋯…"
 STOPS = ".!?؟۔।॥።՜։"
 CLOSERS = "\"'”’»›」』）)]}】〉》"
+GREEK_QUESTION = ";\u037e"
 PAIRS = {"“": "”", "«": "»", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "《": "》", "„": "“”"}
 #: Scripts written without stops: there a blank may be a boundary.
 UNSTOPPED = r"\u0e00-\u0eff\u1000-\u109f"
@@ -35,7 +36,7 @@ CANDIDATE = re.compile(
     rf"(?:[{re.escape(STOPS)}…]+(?:[ \u00a0\u202f]?[»›]|[{_C}])*)+(?=\s)"
     rf"|(?:[{re.escape(STOPS + WIDE)}]*[{re.escape(WIDE)}][{re.escape(STOPS + WIDE)}]*[{_C}]*)+"
     rf"|(?<=[\w)\]`%])[.!?](?=[A-ZÀ-ÖØ-ÞΆ-Ω])"
-    rf"|(?<=[\u0370-\u03ff\u1f00-\u1fff])[;\u037e][{_C}]*(?=\s)"
+    rf"|(?<=[\u0370-\u03ff\u1f00-\u1fff\d)\]`%»])[;\u037e][{_C}]*(?=\s)"
     rf"|(?<=\S)[ \t\r\n\u00a0\u3000]+(?=\S)"
 )
 _MARKS = re.compile(r"[“”«»「」『』（）()\[\]【】《》„\"]")
@@ -46,6 +47,7 @@ _ONE = re.compile(r"[^\S\n]*(?:[-*+•‣▪]|1[.)])[^\S\n]+(?=\S)")
 _DIGITS = re.compile(r"\d+(?:[.,:/]\d+)*")
 _LATIN = re.compile(r"`[^`]*`?|[A-Za-z_][A-Za-z_0-9.]*")
 _UNSTOPPED = re.compile(f"[{UNSTOPPED}]")
+_GREEK = re.compile(r"[\u0386-\u03ff\u1f00-\u1fff]")
 _DENSE = re.compile(f"[{DENSE}]")
 _FIRST = re.compile(r"[\s\"'“”«»„「『（(\[\]¿¡*_]*")
 
@@ -185,7 +187,7 @@ def candidates(text: str, lead: int = 0) -> list[Candidate]:
             if not unstopped:
                 continue
             end = at
-        if end >= size:
+        if end >= size or (mark[0] in GREEK_QUESTION and not _GREEK.search(text, max(0, at - 24), at)):
             continue
         after = end
         while after < size and text[after].isspace():
