@@ -44,8 +44,9 @@ def translate(spark: SparkSession, texts: DataFrame) -> DataFrame:
     names = fired.groupBy("qid").agg(F.array_distinct(F.transform(by_place, lambda x: x["term"])).alias("matched"))
     rows = texts.select("qid", "text").join(names, "qid", "left").join(wide, "qid", "left")
     target = {f: F.coalesce(F.col(f), F.lit(mood.NEUTRAL[f])) for f in mood.FEATURES}
-    bits = [F.when(F.col(f).isNotNull(), F.format_string("tempo≈%.0f BPM" if f == "tempo" else f + "≈%.2f", F.col(f))) for f in mood.EXPLAINED]
-    told = F.concat(F.lit("Matched "), F.array_join(F.transform("matched", lambda t: F.concat(F.lit("'"), t, F.lit("'"))), ", "), F.lit(" → target "), F.concat_ws(", ", *bits), F.lit("."))
+    bits = [F.when(F.col(f).isNotNull(), F.format_string(mood.TEMPO_TEXT, F.col(f)) if f == "tempo" else F.format_string(mood.FEATURE_TEXT, F.lit(f), F.col(f))) for f in mood.EXPLAINED]
+    quoted = F.array_join(F.transform("matched", lambda t: F.concat(F.lit("'"), t, F.lit("'"))), ", ")
+    told = F.format_string(mood.MATCHED, quoted, F.concat_ws(", ", *bits))
     pairs = lambda of: F.map_from_arrays(F.array(*map(F.lit, mood.FEATURES)), F.array(*(of(f) for f in mood.FEATURES)))
     return rows.select(
         "qid", "text", F.coalesce("matched", F.array().cast("array<string>")).alias("matched"), F.array(*target.values()).alias("raw_vector"),

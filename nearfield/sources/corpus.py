@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.functions.mood import FEATURES
 from nearfield.operators.normalize import Normalizer
+from nearfield.sources.tables import materialise
 
 METADATA = ["track_id", "track_name", "artists", "album_name", "track_genre", "popularity"]
 SCHEMA = T.StructType(
@@ -111,9 +112,15 @@ def corpus_queries(corpus: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 def repeated_queries(corpus: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` queries from the rows of the corpus, which may occur again."""
-    numbered = corpus.withColumn("_n", F.row_number().over(Window.orderBy("vec_id")) - 1)
-    total = corpus.count()
-    drawn = corpus.sparkSession.range(n).select(F.col("id").alias("qid"), F.floor(F.rand(seed) * total).cast("int").alias("_n"))
+    spark = corpus.sparkSession
+    rows = materialise(spark, corpus.select("vec_id", "embedding", F.monotonically_increasing_id().alias("_n")), "numbered")
+    rows = rows.select("embedding", F.shiftright("_n", 33).alias("part"), F.col("_n").bitwiseAND((1 << 33) - 1).alias("place"))
+    starts, total = [], 0
+    for part, count in sorted(rows.groupBy("part").count().collect()):  # one row a partition
+        starts.append((part, total))
+        total += count
+    numbered = rows.join(F.broadcast(spark.createDataFrame(starts, "part long, start long")), "part").withColumn("_n", F.col("start") + F.col("place"))
+    drawn = materialise(spark, spark.range(n).select(F.col("id").alias("qid"), F.floor(F.rand(seed) * total).cast("long").alias("_n")), "drawn")
     return drawn.join(numbered, "_n").select("qid", F.col("embedding").alias("qvec"))
 
 
