@@ -7,6 +7,7 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -143,6 +144,7 @@ def _right(text: str, at: int) -> tuple[str, str]:
     return first, first + " " + (_shape(tokens[1]) if len(tokens) > 1 else "$")
 
 
+@lru_cache(1 << 16)
 def bucket(kind: str, key: str) -> int:
     return zlib.crc32(f"{kind}\x1f{key}".encode("utf-8", "surrogatepass")) % BUCKETS
 
@@ -155,6 +157,7 @@ class Candidate:
     flags: tuple[float, ...]
 
 
+@lru_cache(1 << 12)
 def _kind(mark: str) -> str:
     stripped = "".join(c for c in mark if c not in CLOSERS and not c.isspace())
     if not stripped:
