@@ -22,8 +22,10 @@ PART_ROWS, PART_SAMPLE = 1_500, 16
 #: A partition with more vectors than this has its queries shared among several tasks.
 TASK_ROWS = 20_000
 BLOCK = 1 << 22
-#: Partitions probed for ten neighbours at any distance; few are enough within a small one.
-RECALL_PROBES = 40
+#: Partitions probed unless stated, for neighbours at any distance and within a small one.
+RECALL_PROBES, RADIUS_PROBES = 40, 3
+#: Neighbours of a record that ``p3_found`` and ``p3_nearest`` give.
+K_FOUND, K_NEAREST = 5, 10
 
 # The nine audio features and the divisors that bring them to one range.
 FEATURES = ["danceability", "energy", "loudness", "speechiness", "acousticness", "instrumentalness", "liveness", "valence", "tempo"]
@@ -64,13 +66,17 @@ def _near(x: np.ndarray, base: np.ndarray, k: int, most: float | np.ndarray | No
     return i, j, d
 
 
+def default_probes(most: float | None) -> int:
+    return RECALL_PROBES if most is None else RADIUS_PROBES
+
+
 def neighbours(
     spark: SparkSession,
     groups: DataFrame,
     dim: int,
     kind: str,
     k: int,
-    probes: int = 3,
+    probes: int | None = None,
     most: float | None = None,
     queries: Column | None = None,
     n: int | None = None,
@@ -78,10 +84,11 @@ def neighbours(
     """``a, b, d``: for each distinct vector its ``k`` nearest others among the partitions probed.
 
     Every vector is stored in its most probable partition and sought in the ``probes``
-    most probable ones; within these distances are exact, in double precision, rounded to
-    6 decimals, ties to the smaller id. ``most`` leaves out what lies farther;
+    most probable ones (see ``default_probes``); within these distances are exact, in double
+    precision, rounded to 6 decimals, ties to the smaller id. ``most`` leaves out what lies farther;
     ``queries`` (a condition on ``gid``) limits what is sought, not what is found.
     """
+    probes = default_probes(most) if probes is None else probes
     n = groups.count() if n is None else n
     router = spark.sparkContext.broadcast(fit_router(groups, n, dim, kind))
 
@@ -146,7 +153,7 @@ def neighbours(
 
 
 def similar_records(
-    spark: SparkSession, df: DataFrame, id_column: str, vector: Column, dim: int, kind: str, k: int, probes: int = 3, most: float | None = None
+    spark: SparkSession, df: DataFrame, id_column: str, vector: Column, dim: int, kind: str, k: int, probes: int | None = None, most: float | None = None
 ) -> DataFrame:
     """``id, rank, neighbour, d``: the ``k`` nearest other records of every record.
 
@@ -181,23 +188,41 @@ SOURCES = {
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name, (key, vector, dim, kind, most) in SOURCES.items():
-        near = similar_records(spark, table(spark, sf_dir, name), key, vector(), dim, kind, 5, most=most)
+        near = similar_records(spark, table(spark, sf_dir, name), key, vector(), dim, kind, K_FOUND, most=most)
         pairs = near.select(F.lit(name).alias("src"), F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
         out = pairs if out is None else out.unionByName(pairs)
     return out
 
 
-def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per table, how many of the ten nearest the index finds, for ids divisible by 50 against all."""
+def p3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per table, every record's ten nearest others at any distance."""
     out = None
     for name, (key, vector, dim, kind, _) in SOURCES.items():
+        near = similar_records(spark, table(spark, sf_dir, name), key, vector(), dim, kind, K_NEAREST).select(F.lit(name).alias("src"), "*")
+        out = near if out is None else out.unionByName(near)
+    return out
+
+
+def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per table, the share of the true neighbours found, for ids divisible by 50 against all.
+
+    ``within`` is null for the ten nearest at any distance, as ``p3_nearest`` seeks them,
+    and R for the five nearest within R, as ``p3_found`` does.
+    """
+    out = None
+    for name, (key, vector, dim, kind, most) in SOURCES.items():
         _, groups = vector_groups(spark, table(spark, sf_dir, name), key, vector(), dim, kind, 1)
         asked = F.col("gid") % 50 == 0
-        found = materialise(spark, neighbours(spark, groups, dim, kind, 10, probes=RECALL_PROBES, queries=asked), "found")
-        exact = exact_neighbours(spark, groups, dim, kind, 10, asked, found)
-        hit = exact.join(found.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left")
-        row = hit.agg(F.countDistinct("a").alias("n_queries"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall")).select(F.lit(name).alias("src"), "*")
-        out = row if out is None else out.unionByName(row)
+        found = materialise(spark, neighbours(spark, groups, dim, kind, K_NEAREST, queries=asked), "found")
+        exact = materialise(spark, exact_neighbours(spark, groups, dim, kind, K_NEAREST, asked, found), "exact")
+        close = neighbours(spark, groups, dim, kind, K_FOUND, most=most, queries=asked)
+        first = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
+        true_close = exact.where(F.col("d") <= most).withColumn("r", first).where(F.col("r") <= K_FOUND)
+        for within, true, got in ((None, exact, found), (most, true_close, close)):
+            hit = true.join(got.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left")
+            row = hit.agg(F.countDistinct("a").alias("n_queries"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"))
+            row = row.select(F.lit(name).alias("src"), F.lit(within).cast("double").alias("within"), "*")
+            out = row if out is None else out.unionByName(row)
     return out
 
 
@@ -231,7 +256,7 @@ def exact_neighbours(spark: SparkSession, groups: DataFrame, dim: int, kind: str
     return found.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= k).select("a", "b", "d")
 
 
-QUERIES = {"p3_found": p3_found, "p3_recall": p3_recall}
+QUERIES = {"p3_found": p3_found, "p3_nearest": p3_nearest, "p3_recall": p3_recall}
 
 
 def _sql(name: str, rows: str, near: str, most: float) -> str:

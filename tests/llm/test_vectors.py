@@ -64,6 +64,17 @@ def test_recall_of_learned_partitions(spark, monkeypatch):
     assert len(truth) == 800 and len(truth & found) / 800 >= 0.9
 
 
+def test_neighbours_at_any_distance_by_default(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = (rng.normal(0, 3, (20, 8))[rng.integers(0, 20, 4000)] + rng.normal(size=(4000, 8))).astype("f4").astype(float)
+    fit = similar.fit_router
+    monkeypatch.setattr(similar, "fit_router", lambda *a: fit(*a, part_rows=100))  # 64 partitions
+    found = got(similar_records(spark, vectors(spark, x), "vec_id", F.col("embedding"), 8, "f4", 10))
+    truth = want(np.arange(4000), x, 10)
+    assert len(found) == 40_000 and len({(a, b) for a, _, b, _ in found} & {(a, b) for a, _, b, _ in truth}) / 40_000 >= 0.98
+    assert "p3_nearest" in similar.QUERIES
+
+
 def test_router_is_balanced():
     x = np.random.default_rng(3).normal(size=(2048, 6))
     parts = LearnedPartitions(4).fit(x).route(x, 3)
