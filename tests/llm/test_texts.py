@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from nearfield.llm import mixing
 from nearfield.llm.mixing import min_cost_flow, mixture
 from nearfield.llm.packing import best_fit, pack
 from nearfield.llm.sentences import candidates, sentences, units
@@ -121,6 +122,16 @@ def test_mixture(spark):
     assert sorted(each) == sorted(again.collect())
 
 
+def test_short_sources_follow_from_the_draw(spark, monkeypatch):
+    rows = [(k, ["a", "b"][k % 2], 10) for k in range(100)]
+    docs = spark.createDataFrame(rows, "id long, source string, n int").withColumn("sources", F.array("source"))
+    targets = spark.createDataFrame([("a", 0.9, 1), ("b", 0.05, 2), ("gone", 0.05, 9)], "source string, target_share double, max_repeats int")
+    monkeypatch.setattr(mixing, "_mixed", lambda *_: mixture(spark, docs, "id", "sources", "n", targets))
+    found = mixing.p9_found(spark, "")
+    assert "Window" in found._jdf.queryExecution().optimizedPlan().toString()  # the documents are drawn
+    assert sorted(r["source"] for r in found.collect()) == ["a", "gone"]
+
+
 def test_mixture_of_nothing(spark):
     targets = spark.createDataFrame([("a", 0.5, 2)], "source string, target_share double, max_repeats int")
     uses, report = mixture(spark, documents(spark).limit(0), "id", "sources", "n", targets)
