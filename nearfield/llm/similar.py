@@ -86,7 +86,7 @@ def neighbours(
     Every vector is stored in its most probable partition and sought in the ``probes``
     most probable ones (see ``default_probes``); within these distances are exact, in double
     precision, rounded to 6 decimals, ties to the smaller id. ``most`` leaves out what lies farther;
-    ``queries`` (a condition on ``gid``) limits what is sought, not what is found.
+    ``queries`` (a condition on ``groups``) limits what is sought, not what is found.
     """
     probes = default_probes(most) if probes is None else probes
     n = groups.count() if n is None else n
@@ -164,7 +164,11 @@ def similar_records(
     count. A table with fewer than ``k + 1`` records gives all; an empty one none.
     """
     rows, groups = vector_groups(spark, df, id_column, vector, dim, kind, k + 1)
-    near = neighbours(spark, groups, dim, kind, k, probes, most)
+    return _records(rows, groups, neighbours(spark, groups, dim, kind, k, probes, most), k)
+
+
+def _records(rows: DataFrame, groups: DataFrame, near: DataFrame, k: int) -> DataFrame:
+    """``id, rank, neighbour, d`` of records from ``near(a, b, d)`` of their distinct vectors."""
     ids = groups.select(F.col("gid").alias("b"), "ids")
     other = near.join(ids, "b").select(F.col("a").alias("gid"), "d", F.explode("ids").alias("id"))
     same = groups.where("n > 1").select("gid", F.lit(0.0).alias("d"), F.explode("ids").alias("id"))
@@ -204,25 +208,37 @@ def p3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per table, the share of the true neighbours found, for ids divisible by 50 against all.
+    """Per table, the share of the true neighbours found, for every id divisible by 50 against all.
 
     ``within`` is null for the ten nearest at any distance, as ``p3_nearest`` seeks them,
-    and R for the five nearest within R, as ``p3_found`` does.
+    and R for the five nearest within R, as ``p3_found`` does. Neighbours are records,
+    copies among them, and ``n_queries`` counts the ids with any; without one, ``recall`` is null.
     """
     out = None
     for name, (key, vector, dim, kind, most) in SOURCES.items():
-        _, groups = vector_groups(spark, table(spark, sf_dir, name), key, vector(), dim, kind, 1)
-        asked = F.col("gid") % 50 == 0
-        found = materialise(spark, neighbours(spark, groups, dim, kind, K_NEAREST, queries=asked), "found")
-        exact = materialise(spark, exact_neighbours(spark, groups, dim, kind, K_NEAREST, asked, found), "exact")
-        close = neighbours(spark, groups, dim, kind, K_FOUND, most=most, queries=asked)
-        first = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
-        true_close = exact.where(F.col("d") <= most).withColumn("r", first).where(F.col("r") <= K_FOUND)
-        for within, true, got in ((None, exact, found), (most, true_close, close)):
-            hit = true.join(got.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left")
-            row = hit.agg(F.countDistinct("a").alias("n_queries"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"))
-            row = row.select(F.lit(name).alias("src"), F.lit(within).cast("double").alias("within"), "*")
-            out = row if out is None else out.unionByName(row)
+        row = recall(spark, table(spark, sf_dir, name), key, vector(), dim, kind, most, 50).select(F.lit(name).alias("src"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def recall(spark: SparkSession, df: DataFrame, id_column: str, vector: Column, dim: int, kind: str, most: float, every: int) -> DataFrame:
+    """``within, n_queries, recall`` of both default searches, for the ids divisible by ``every``."""
+    rows, groups = vector_groups(spark, df, id_column, vector, dim, kind, K_NEAREST + 1)
+    wanted = rows.where(F.col("id") % every == 0)
+    held = members(wanted, groups.select("gid", "reps")).select("gid", F.lit(True).alias("asked")).distinct()
+    groups = materialise(spark, groups.join(held, "gid", "left").withColumn("asked", F.coalesce("asked", F.lit(False))), "asked")
+    found = materialise(spark, neighbours(spark, groups, dim, kind, K_NEAREST, queries=F.col("asked")), "found")
+    exact = exact_neighbours(spark, groups, dim, kind, K_NEAREST, F.col("asked"), found)
+    close = neighbours(spark, groups, dim, kind, K_FOUND, most=most, queries=F.col("asked"))
+    true = materialise(spark, _records(wanted, groups, exact, K_NEAREST), "exact")
+    true_close = true.where((F.col("d") <= most) & (F.col("rank") <= K_FOUND))
+    out = None
+    for within, every_one, near, k in ((None, true, found, K_NEAREST), (most, true_close, close, K_FOUND)):
+        got = _records(wanted, groups, near, k).select("id", "neighbour", F.lit(1).alias("hit"))
+        hit = every_one.join(got, ["id", "neighbour"], "left")
+        row = hit.agg(F.countDistinct("id").alias("n_queries"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"))
+        row = row.select(F.lit(within).cast("double").alias("within"), "*")
+        out = row if out is None else out.unionByName(row)
     return out
 
 

@@ -75,6 +75,14 @@ def test_neighbours_at_any_distance_by_default(spark, monkeypatch):
     assert "p3_nearest" in similar.QUERIES
 
 
+def test_recall_asks_with_every_stated_id(spark):
+    x = np.random.default_rng(6).normal(size=(300, 3)).astype("f4").astype(float)
+    x[100] = x[99] = x[7]  # 100 is not the first of its copies
+    out = {r["within"]: r for r in similar.recall(spark, vectors(spark, x).repartition(3), "vec_id", F.col("embedding"), 3, "f4", 0.0, 50).collect()}
+    assert out[None]["n_queries"] == 6 and out[None]["recall"] == 1.0
+    assert out[0.0]["n_queries"] == 1 and out[0.0]["recall"] == 1.0  # the copies of 100
+
+
 def test_router_is_balanced():
     x = np.random.default_rng(3).normal(size=(2048, 6))
     parts = LearnedPartitions(4).fit(x).route(x, 3)
