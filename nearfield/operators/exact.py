@@ -10,7 +10,8 @@ from nearfield.functions.metrics import check_metric, distance
 from nearfield.operators.blocks import nearest, ranked
 from nearfield.operators.filters import allow
 
-MAX_QUERIES = 10_000
+#: Queries broadcast at once by ``expression_knn``.
+BLOCK_QUERIES = 10_000
 
 
 def exact_knn(
@@ -37,19 +38,26 @@ def exact_knn(
     return nearest(spark, packed(queries, dim, "qvec", "qid"), packed(base, dim, "embedding", "vec_id"), dim, k, metric)
 
 
-def expression_knn(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "l2", dim: int | None = None, max_queries: int = MAX_QUERIES) -> DataFrame:
-    """The same by column expressions alone, for a stated set of at most ``max_queries`` queries.
+def expression_knn(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "l2", dim: int | None = None, max_queries: int | None = None) -> DataFrame:
+    """The same by column expressions alone; more than ``max_queries``, if given, are refused.
 
-    The queries are broadcast and the window is limited before its shuffle, so a task
-    passes on k rows a query. Slower than ``exact_knn``, which multiplies blocks.
+    The queries are broadcast in blocks of about ``BLOCK_QUERIES``, cut by a hash of
+    ``qid``, and the window is limited before its shuffle, so a task passes on k rows a
+    query. Slower than ``exact_knn``, which multiplies blocks.
     """
     dim = dim or dimension(corpus, "embedding")
     asked = queries.where(usable(F.col("qvec"), dim)).select("qid", "qvec")
-    if asked.limit(max_queries + 1).count() > max_queries:
+    n = asked.count()
+    if max_queries is not None and n > max_queries:
         raise ValueError(f"more than {max_queries} queries; use exact_knn")
     base = corpus.where(usable(F.col("embedding"), dim)).select("vec_id", "embedding")
-    pairs = base.join(F.broadcast(asked))
-    return ranked(pairs.select("qid", "vec_id", distance(F.col("qvec"), F.col("embedding"), metric, dim).alias("dist")), k)
+    blocks, out = max(1, -(-n // BLOCK_QUERIES)), None
+    for block in range(blocks):
+        some = asked if blocks == 1 else asked.where(F.pmod(F.coalesce(F.xxhash64("qid"), F.lit(0)), F.lit(blocks)) == block)
+        pairs = base.join(F.broadcast(some))
+        found = ranked(pairs.select("qid", "vec_id", distance(F.col("qvec"), F.col("embedding"), metric, dim).alias("dist")), k)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def nearest_to(point: list[float], corpus: DataFrame, k: int = 10, metric: str = "l2") -> DataFrame:

@@ -57,6 +57,14 @@ def test_expressions_agree(spark, uniform, asked):
     assert [r["recall"] for r in compare_kernels(spark, uniform, asked, 5).collect()] == [1.0, 1.0]
 
 
+def test_expressions_ask_in_blocks(spark, uniform, asked, monkeypatch):
+    small = uniform.where("vec_id < 20")
+    many = asked.unionByName(spark.range(1000, 11_000).select(F.col("id").alias("qid"), F.array(*(F.lit(float(x)).cast("float") for x in range(16))).alias("qvec")))
+    assert expression_knn(many, small, 1).count() == 10_040
+    monkeypatch.setattr("nearfield.operators.exact.BLOCK_QUERIES", 15)
+    assert rows(expression_knn(asked, uniform, 10)) == rows(exact_knn(spark, asked, uniform, 10))
+
+
 def test_bad_vectors_are_left_out(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0], 5), (2, None, 5), (3, [1.0], 5), (4, [float("nan"), 1.0], 5), (5, [0.0, 0.0], 5), (6, [1.0, None], 5)], "vec_id long, embedding array<double>, dist long")
     q = spark.createDataFrame([(0, [0.0, 0.0])], "qid long, qvec array<double>")
