@@ -118,3 +118,37 @@ def test_clusters_of_nothing(spark):
     assert spectral_clusters(spark, df, "vec_id", "embedding", 8, centers.limit(0)).count() == 0
     same = vectors(spark, np.ones((5, 8)))
     assert spectral_clusters(spark, same, "vec_id", "embedding", 8, centers).count() == 5
+
+
+def test_small_groups_of_large_tables(spark):
+    rng = np.random.default_rng(8)
+    centers = rng.normal(0, 12, (4, 8))
+    labels = np.r_[rng.integers(0, 3, 20_000), np.full(40, 3)]
+    x = centers[labels] + rng.normal(0, 0.5, (20_040, 8))
+    alone = rng.normal(0, 60, (200, 8))
+    named = spark.createDataFrame([(k, (v + 0.2).tolist()) for k, v in enumerate(centers)], "label int, center array<float>")
+    out = spectral_clusters(spark, vectors(spark, np.vstack([x, alone])), "vec_id", "embedding", 8, named, sample=500, landmarks=60).collect()
+    found = {r["id"]: r["label"] for r in out}
+    assert not [i for i in found if i >= 20_040]
+    assert all(found.get(i) == 3 for i in range(20_000, 20_040))
+    assert sum(found.get(i) == c for i, c in enumerate(labels)) / len(labels) > 0.985
+
+
+def test_more_groups_than_landmarks_of_the_default(spark):
+    rng = np.random.default_rng(9)
+    centers = rng.normal(0, 12, (2_000, 16))
+    labels = rng.integers(0, 2_000, 30_000)
+    df = vectors(spark, centers[labels] + rng.normal(0, 0.5, (30_000, 16)))
+    named = spark.createDataFrame([(k, (v + rng.normal(0, 0.3, 16)).tolist()) for k, v in enumerate(centers)], "label int, center array<float>")
+    found = {r["id"]: r["label"] for r in spectral_clusters(spark, df, "vec_id", "embedding", 16, named).collect()}
+    assert sum(found.get(i) == c for i, c in enumerate(labels)) / len(labels) > 0.99
+
+
+def test_doubtful_labels_do_not_change_clusters(spark):
+    labels, df, centers = clouds(spark)
+    rng = np.random.default_rng(10)
+    rows = [(int(i), int(c) + 10 if rng.random() > 0.2 else int(rng.integers(10, 15))) for i, c in enumerate(labels) if rng.random() > 0.1]
+    rows += [(3, None), (4, -1), (4, 77), (None, 10), (99_999, 11), *rows[:50]]
+    doubtful = spark.createDataFrame(rows, "id long, label int")
+    found = {r["id"]: r["label"] - 10 for r in spectral_clusters(spark, df, "vec_id", "embedding", 8, centers, doubtful, landmarks=96).collect()}
+    assert len(found) > 1960 and sum(labels[i] == c for i, c in found.items()) / len(found) > 0.995
