@@ -24,7 +24,8 @@ class LearnedPartitions:
     the graph, and the part is split at their median. So parts are balanced and cut few
     edges. The classifier is a tree of logistic gates, one per split, each fitted to
     tell the two halves apart; a partition's probability is the product of the gates on
-    its way, and the most probable ones are found by a beam from the root.
+    its way, and the most probable ones are found by a beam from the root. ``grown``
+    puts routers fitted on the parts' own vectors below the parts of this one.
     """
 
     def __init__(self, depth: int):
@@ -34,26 +35,46 @@ class LearnedPartitions:
         x = np.asarray(sample, np.float64)
         self.center = x.mean(0) if len(x) else np.zeros(x.shape[1])
         self.scale = np.maximum(x.std(0), 1e-9) if len(x) else np.ones(x.shape[1])
-        self.weights = np.zeros((x.shape[1] + 1, max(1, 2**self.depth - 1)))
-        if not self.depth:
+        self.gates = np.zeros((max(1, 2**self.depth - 1), x.shape[1] + 1), np.float32)
+        if not self.depth or len(x) < 2:
             return self
         x = (x - self.center) / self.scale
         graph = nearest(x.astype(np.float32), x.astype(np.float32), min(neighbours + 1, len(x)))[:, 1:]
         part = np.zeros(len(x), np.int64)
         for level in range(self.depth):
             right = self._halve(x, graph, part, 2**level, smoothing)
+            order = np.argsort(part, kind="stable")
+            bounds = np.searchsorted(part[order], np.arange(2**level + 1))
             for node in range(2**level):
-                rows = np.flatnonzero(part == node)
-                self.weights[:, 2**level - 1 + node] = self._gate(x[rows], right[rows], steps, ridge)
+                rows = order[bounds[node] : bounds[node + 1]]
+                self.gates[2**level - 1 + node] = self._gate(x[rows], right[rows], steps, ridge)
             part = 2 * part + right
         return self
 
+    def grown(self, below: dict[int, LearnedPartitions], levels: int) -> LearnedPartitions:
+        """With ``levels`` more, the gates of a part's own router in the place of the part; a part without one stays even."""
+        out = LearnedPartitions(self.depth + levels)
+        out.center, out.scale = self.center, self.scale
+        out.gates = np.zeros((2**out.depth - 1, self.gates.shape[1]), np.float32)
+        out.gates[: 2**self.depth - 1] = self.gates[: 2**self.depth - 1]
+        for part, router in below.items():
+            # its gates read values centred and scaled by its own sample
+            w = router.gates[:, :-1] * (self.scale / router.scale)
+            b = router.gates[:, -1] + (router.gates[:, :-1] * ((self.center - router.center) / router.scale)).sum(1)
+            for level in range(router.depth):
+                to = 2 ** (self.depth + level) - 1 + part * 2**level
+                some = slice(2**level - 1, 2 ** (level + 1) - 1)
+                out.gates[to : to + 2**level] = np.column_stack([w[some], b[some]])
+        return out
+
     @staticmethod
     def _halve(x: np.ndarray, graph: np.ndarray, part: np.ndarray, parts: int, smoothing: int) -> np.ndarray:
         sizes = np.maximum(np.bincount(part, minlength=parts), 1)
         y = np.empty(len(x))
+        by = np.argsort(part, kind="stable")
+        bounds = np.searchsorted(part[by], np.arange(parts + 1))
         for node in range(parts):
-            rows = np.flatnonzero(part == node)
+            rows = by[bounds[node] : bounds[node + 1]]
             if len(rows):
                 c = x[rows] - x[rows].mean(0)
                 direction = np.linalg.eigh(c.T @ c)[1][:, -1]
@@ -72,6 +93,8 @@ class LearnedPartitions:
     @staticmethod
     def _gate(x: np.ndarray, right: np.ndarray, steps: int, ridge: float) -> np.ndarray:
         a = np.hstack([x, np.ones((len(x), 1))])
+        if not len(x):
+            return np.zeros(a.shape[1])
         w = np.zeros(a.shape[1])
         penalty = ridge * max(1, len(x)) * np.eye(a.shape[1])
         penalty[-1, -1] = 1e-6
@@ -86,11 +109,15 @@ class LearnedPartitions:
         beam, score = np.zeros((n, 1), np.int64), np.zeros((n, 1), np.float32)
         if not self.depth:
             return beam
-        x = (np.asarray(vectors, np.float64) - self.center) / self.scale
-        logits = (np.hstack([x, np.ones((n, 1))]) @ self.weights).astype(np.float32)
+        x = np.ones((n, self.gates.shape[1]), np.float32)
+        x[:, :-1] = (np.asarray(vectors, np.float64) - self.center) / self.scale
         rows = np.arange(n)[:, None]
         for level in range(self.depth):
-            z = logits[rows, beam + (2**level - 1)]
+            first = 2**level - 1
+            if 2**level <= 8 * beam.shape[1]:  # few gates: all at once
+                z = (x @ self.gates[first : first + 2**level].T)[rows, beam]
+            else:
+                z = np.einsum("nbd,nd->nb", self.gates[first + beam], x)
             soft = np.log1p(np.exp(-np.abs(z)))
             yes, no = score + np.minimum(z, 0) - soft, score - np.maximum(z, 0) - soft
             beam, score = np.hstack([2 * beam, 2 * beam + 1]), np.hstack([no, yes])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,17 +14,24 @@ from pyspark.sql import functions as F
 from nearfield.functions.arrays import binary, matrix
 from nearfield.llm.collapse import members, vector_groups
 from nearfield.llm.routing import LearnedPartitions
+from nearfield.operators.blocks import nearest
 from nearfield.sources.tables import materialise, table
 
-#: The router is fitted on at most so many distinct vectors; every vector is indexed.
+#: The router's upper levels are fitted on at most so many distinct vectors, its lower ones on as many of
+#: each part at most; every vector is indexed.
 SAMPLE = 16_384
-#: Distinct vectors a partition is meant to hold, and vectors of the sample it needs.
-PART_ROWS, PART_SAMPLE = 1_500, 16
-#: A partition with more vectors than this has its queries shared among several tasks.
+#: Distinct vectors a partition is meant to hold, and vectors of a sample that a partition needs.
+PART_ROWS, PART_SAMPLE = 400, 16
+#: Levels fitted at once, and at all: beyond 4e8 distinct vectors partitions grow and are shared among tasks.
+LEVELS, MOST_LEVELS = 9, 20
+#: Partitions that travel together, so that a vector is sent once for all it probes of them; and the least number of such blocks' levels.
+BLOCK_LEVELS, LEAST_BLOCK_LEVELS = 6, 5
+#: Vectors, and half the queries, of a block that meet in one task; larger ones are cut into shares.
 TASK_ROWS = 20_000
+QUERY_ROWS = 4_096
 BLOCK = 1 << 22
-#: Partitions probed unless stated, for neighbours at any distance and within a small one.
-RECALL_PROBES, RADIUS_PROBES = 40, 3
+#: Partitions probed unless stated: a tenth of all, between these.
+LEAST_PROBES, MOST_PROBES = 12, 24
 #: Neighbours of a record that ``p3_found`` and ``p3_nearest`` give.
 K_FOUND, K_NEAREST = 5, 10
 
@@ -32,42 +40,68 @@ FEATURES = ["danceability", "energy", "loudness", "speechiness", "acousticness",
 DIVISORS = {"loudness": 60.0, "tempo": 250.0}
 
 
-def fit_router(groups: DataFrame, n: int, dim: int, kind: str, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> LearnedPartitions:
-    """A router fitted on a sample of the distinct vectors that is the same in every run."""
+def fit_router(groups: DataFrame, n: int, dim: int, kind: str, sample: int = SAMPLE, part_rows: int | None = None) -> LearnedPartitions:
+    """A router fitted on samples of the distinct vectors that are the same in every run.
+
+    Up to ``LEVELS`` levels are fitted on one sample. Of more, the upper half is, and
+    every part gets a router of its own below, fitted in a task on a sample of its own
+    vectors. All gates together are bounded by ``MOST_LEVELS``.
+    """
     order = F.xxhash64("v", F.lit(5))
     share = min(1.0, 1.2 * sample / max(n, 1) + 64 / max(n, 1))
     some = groups.select("v", order.alias("o")).where(F.pmod("o", F.lit(1 << 20)) <= int(share * (1 << 20)))
     rows = some.orderBy("o").limit(sample).toArrow()  # bounded by ``sample``
     x = matrix(rows.column("v"), dim, kind)
-    depth = max(0, min(math.ceil(math.log2(max(1, n) / part_rows)) if n > part_rows else 0, int(math.log2(max(1, len(x) // PART_SAMPLE)))))
-    return LearnedPartitions(depth).fit(x)
+    part_rows = part_rows or PART_ROWS
+    depth = min(math.ceil(math.log2(n / part_rows)), MOST_LEVELS) if n > part_rows else 0
+    top = min(depth if depth <= LEVELS else depth // 2, int(math.log2(max(1, len(x) // PART_SAMPLE))))
+    router = LearnedPartitions(top).fit(x)
+    if top == depth:
+        return router
+    levels, most = depth - top, min(sample, 2 * PART_SAMPLE << (depth - top))
+    upper = groups.sparkSession.sparkContext.broadcast(router)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = upper.value.route(matrix(batch.column(0), dim, kind), 1)[:, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *batch.columns], ["part", "v", "o"])
 
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("o").slice(0, 2 * most)
+        lower = LearnedPartitions(levels).fit(matrix(rows.column("v"), dim, kind))
+        return pa.table({"part": rows.column("part").slice(0, 1), "router": pa.array([pickle.dumps(lower)], pa.binary())})
 
-def _near(x: np.ndarray, base: np.ndarray, k: int, most: float | np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places ``(query, base, distance)`` of candidates: those within ``most`` (one for all, or one a query), else the k nearest."""
+    share = int(min(1.0, most * 2**top / n) * (1 << 20))
+    some = groups.select("v", F.xxhash64("v", F.lit(6)).alias("o")).where(F.pmod("o", F.lit(1 << 20)) <= share)
+    lower = some.mapInArrow(own, "part int, v binary, o long").groupBy("part").applyInArrow(fit, "part int, router binary").collect()  # one row a part
+    return router.grown({r["part"]: pickle.loads(r["router"]) for r in lower}, levels)
+
+
+def _near(x: np.ndarray, base: np.ndarray, k: int, most: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places ``(query, base, distance)`` of candidates: those within ``most``, else all that can be among the k nearest, equal ones too."""
     center = base.mean(0)
     b, out = base - center, []
     norms = (b**2).sum(1)
     step = max(1, BLOCK // max(1, len(base)))
     for at in range(0, len(x), step):
         q = x[at : at + step] - center
-        d = (q**2).sum(1)[:, None] + norms - 2 * (q @ b.T)
+        own = (q**2).sum(1)[:, None]
+        d = own + norms - 2 * (q @ b.T)
         if most is not None:
-            within = most if np.isscalar(most) else most[at : at + step, None]
-            i, j = np.nonzero(d <= (within + 1e-6) ** 2 + 1e-9)
+            i, j = np.nonzero(d <= (most + 1e-6) ** 2 + 1e-9)
         elif k >= len(base):
             i, j = np.divmod(np.arange(d.size), len(base))
         else:
-            j = np.argpartition(d, k - 1, axis=1)[:, :k].ravel()
-            i = np.repeat(np.arange(len(q)), k)
+            bound = np.sqrt(np.maximum(np.partition(d, k - 1, axis=1)[:, k - 1 : k], 0)) + 1.1e-6
+            i, j = np.nonzero(d <= bound * bound + 1e-12 * (own + norms.max()))
         exact = np.sqrt(((x[at + i] - base[j]) ** 2).sum(1))
         out.append((at + i, j, np.round(exact, 6)))
     i, j, d = (np.concatenate(c) for c in zip(*out))
     return i, j, d
 
 
-def default_probes(most: float | None) -> int:
-    return RECALL_PROBES if most is None else RADIUS_PROBES
+def default_probes(partitions: int) -> int:
+    return min(partitions, MOST_PROBES, max(LEAST_PROBES, partitions // 10))
 
 
 def neighbours(
@@ -80,6 +114,7 @@ def neighbours(
     most: float | None = None,
     queries: Column | None = None,
     n: int | None = None,
+    router: LearnedPartitions | None = None,
 ) -> DataFrame:
     """``a, b, d``: for each distinct vector its ``k`` nearest others among the partitions probed.
 
@@ -87,67 +122,108 @@ def neighbours(
     most probable ones (see ``default_probes``); within these distances are exact, in double
     precision, rounded to 6 decimals, ties to the smaller id. ``most`` leaves out what lies farther;
     ``queries`` (a condition on ``groups``) limits what is sought, not what is found.
+
+    Neighbouring partitions form blocks, and a vector is sent once to each block in which
+    it has a place or probes; with it go the partitions it probes there. A block with
+    many vectors or queries is cut into shares of both, each pair of which meets in a
+    task of its own.
     """
-    probes = default_probes(most) if probes is None else probes
     n = groups.count() if n is None else n
-    router = spark.sparkContext.broadcast(fit_router(groups, n, dim, kind))
+    router = fit_router(groups, n, dim, kind) if router is None else router
+    depth, shared = router.depth, spark.sparkContext.broadcast(router)
+    probes = default_probes(2**depth) if probes is None else min(probes, 2**depth)
+    low = max(0, min(BLOCK_LEVELS, depth - LEAST_BLOCK_LEVELS))
+
+    def places(v: pa.Array, sought: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``row, block, partition, own`` of what every vector is sent for, by row and block."""
+        parts = shared.value.route(matrix(v, dim, kind), probes)
+        keep = np.ones(parts.shape, bool)
+        keep[~sought, 1:] = False
+        row, rank = np.nonzero(keep)
+        part = parts[row, rank]
+        order = np.lexsort((part, row))
+        return row[order], part[order] >> low, part[order] & (2**low - 1), rank[order] == 0
+
+    def heads(row: np.ndarray, block: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])]) if len(row) else np.zeros(0, np.int64)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column(1), dim, kind)
-            parts = router.value.route(x, probes)
             sought = batch.column(2).to_numpy(zero_copy_only=False)
-            keep = np.ones(parts.shape, bool)
-            keep[~sought, 1:] = False
-            row, place = np.nonzero(keep)
+            row, block, leaf, own = places(batch.column(1), sought)
+            first = heads(row, block)
+            x = matrix(batch.column(1), dim, kind)
+            home = np.maximum.reduceat(np.where(own, leaf, -1), first) if len(first) else first
+            bounds = np.r_[first, len(row)].astype(np.int32)
+            leaves = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(leaf.astype(np.uint8).tobytes())])
+            at = row[first]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(parts[row, place].astype(np.int32)), batch.column(0).take(pa.array(row)), binary(x[row]), pa.array(place == 0), pa.array(sought[row])], ["part", "gid", "v", "own", "sought"]
+                [pa.array(block[first].astype(np.int32)), batch.column(0).take(pa.array(at)), binary(x[at]), pa.array(home.astype(np.int16)), leaves, pa.array(sought[at])], ["block", "gid", "v", "home", "leaves", "sought"]
             )
 
     wanted = F.lit(True) if queries is None else queries
-    routed = groups.select("gid", "v", wanted.alias("sought")).mapInArrow(route, "part int, gid long, v binary, own boolean, sought boolean")
-    limited = queries is not None
+    asked = groups.select("gid", "v", wanted.alias("sought"))
+    routed = asked.mapInArrow(route, "block int, gid long, v binary, home smallint, leaves binary, sought boolean")
 
     def occupy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """How many rows each partition gets; routing again is cheaper than writing every vector ``probes`` times."""
-        total = np.zeros(2**router.value.depth, np.int64)
+        """How many vectors and queries each block gets; routing again is cheaper than writing every vector several times."""
+        total = np.zeros((2, 2 ** (depth - low)), np.int64)
         for batch in batches:
-            parts = router.value.route(matrix(batch.column(0), dim, kind), probes)
-            if limited:
-                parts = parts[:, :1]
-            total += np.bincount(parts.ravel(), minlength=len(total))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["part", "n"])
-
-    sizes = groups.select("v").mapInArrow(occupy, "part int, n long").groupBy("part").agg(F.sum("n").alias("rows"))
-    shares = sizes.where(F.col("rows") > TASK_ROWS).select("part", F.ceil(F.col("rows") / TASK_ROWS).cast("int").alias("shares")).collect()  # at most one row a partition
-    if shares:
-        large = F.broadcast(spark.createDataFrame(shares, "part int, shares int"))
-        spread = routed.join(large, "part", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
-        mine = F.pmod(F.xxhash64("gid"), F.col("shares")).cast("int")
-        routed = spread.withColumn("share", F.explode(F.when(F.col("own"), F.sequence(F.lit(0), F.col("shares") - 1)).otherwise(F.array(mine)))).withColumn("sought", F.col("sought") & (F.col("share") == mine))
+            sought = batch.column(1).to_numpy(zero_copy_only=False)
+            row, block, _, own = places(batch.column(0), sought)
+            first = heads(row, block)
+            total[0] += np.bincount(block[own], minlength=total.shape[1])
+            total[1] += np.bincount(block[first][sought[row[first]]], minlength=total.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.shape[1], dtype=np.int32)), *map(pa.array, total)], ["block", "vectors", "queries"])
+
+    sizes = asked.select("v", "sought").mapInArrow(occupy, "block int, vectors long, queries long").groupBy("block").agg(F.sum("vectors").alias("vectors"), F.sum("queries").alias("queries"))
+    shares = lambda column, rows: F.greatest(F.ceil(F.col(column) / rows), F.lit(1)).cast("int")
+    large = sizes.select("block", shares("vectors", TASK_ROWS).alias("bs"), shares("queries", 2 * TASK_ROWS).alias("qs")).where("bs * qs > 1").collect()  # at most one row a block
+    if large:
+        cut = routed.join(F.broadcast(spark.createDataFrame(large, "block int, bs int, qs int")), "block", "left").withColumns({"bs": F.coalesce("bs", F.lit(1)), "qs": F.coalesce("qs", F.lit(1))})
+        mine_b, mine_q = F.pmod(F.xxhash64("gid"), F.col("bs")), F.pmod(F.xxhash64("gid", F.lit(2)), F.col("qs"))
+        is_base = lambda c: (F.col("home") >= 0) & (F.floor(c / F.col("qs")) == mine_b)
+        is_query = lambda c: F.col("sought") & (F.pmod(c, F.col("qs")) == mine_q)
+        pairs = F.filter(F.sequence(F.lit(0), F.col("bs") * F.col("qs") - 1), lambda c: is_base(c) | is_query(c))
+        cut = cut.withColumn("share", F.explode(pairs))
+        routed = cut.select("block", "share", "gid", "v", "leaves", F.when(is_base(F.col("share")), F.col("home")).otherwise(F.lit(-1)).cast("smallint").alias("home"), is_query(F.col("share")).alias("sought"))
     else:
         routed = routed.withColumn("share", F.lit(0))
 
     def search(rows: pa.Table) -> pa.Table:
-        own, sought = (rows.column(c).to_numpy() for c in ("own", "sought"))
-        ids, x = rows.column("gid").to_numpy(), matrix(rows.column("v"), dim, kind).astype(np.float64)
-        qi, bi = np.flatnonzero(sought), np.flatnonzero(own)
-        if not len(qi) or not len(bi):
-            empty = np.zeros(0, np.int64)
-            return pa.table({"a": empty, "b": empty, "d": np.zeros(0)})
-        i, j, d = _near(x[qi], x[bi], k + 1, most)
-        a, b = ids[qi[i]], ids[bi[j]]
-        keep = a != b
-        if most is not None:
-            keep &= d <= most
-        a, b, d = a[keep], b[keep], d[keep]
-        order = np.lexsort((b, d, a))
-        a, b, d = a[order], b[order], d[order]
-        starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, int)
-        rank = np.arange(len(a)) - np.repeat(starts, np.diff(np.r_[starts, len(a)]))
-        return pa.table({"a": a[rank < k], "b": b[rank < k], "d": d[rank < k]})
-
-    found = routed.groupBy("part", "share").applyInArrow(search, "a long, b long, d double")
+        home, ids = rows.column("home").to_numpy(), rows.column("gid").to_numpy()
+        x = matrix(rows.column("v"), dim, kind).astype(np.float64)
+        base, asking = np.flatnonzero(home >= 0), np.flatnonzero(rows.column("sought").to_numpy())
+        base = base[np.argsort(home[base], kind="stable")]
+        starts = np.searchsorted(home[base], np.arange(2**low + 1))
+        leaves = rows.column("leaves").take(pa.array(asking)).to_pylist()
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for at in range(0, len(asking), QUERY_ROWS):
+            some = asking[at : at + QUERY_ROWS]
+            listed = leaves[at : at + QUERY_ROWS]
+            leaf = np.frombuffer(b"".join(listed), np.uint8)
+            query = np.repeat(np.arange(len(some)), [len(t) for t in listed])
+            query, leaf = query[np.argsort(leaf, kind="stable")], np.sort(leaf)
+            found = [(query[:0], query[:0], np.zeros(0))]
+            for part in np.unique(leaf):
+                there = base[starts[part] : starts[part + 1]]
+                if len(there):
+                    who = query[np.searchsorted(leaf, part) : np.searchsorted(leaf, part, side="right")]
+                    i, j, d = _near(x[some[who]], x[there], k + 1, most)
+                    found.append((who[i], there[j], d))
+            i, j, d = (np.concatenate(c) for c in zip(*found))
+            a, b = ids[some[i]], ids[j]
+            keep = a != b
+            if most is not None:
+                keep &= d <= most
+            a, b, d = a[keep], b[keep], d[keep]
+            order = np.lexsort((b, d, a))
+            a, b, d = a[order], b[order], d[order]
+            rank = np.arange(len(a)) - np.searchsorted(a, a)
+            out.append((a[rank < k], b[rank < k], d[rank < k]))
+        return pa.table(dict(zip("abd", map(np.concatenate, zip(*out)))))
+
+    found = routed.groupBy("block", "share").applyInArrow(search, "a long, b long, d double")
     by = Window.partitionBy("a").orderBy("d", "b")
     return found.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k).select("a", "b", "d")
 
@@ -211,8 +287,9 @@ def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per table, the share of the true neighbours found, for every id divisible by 50 against all.
 
     ``within`` is null for the ten nearest at any distance, as ``p3_nearest`` seeks them,
-    and R for the five nearest within R, as ``p3_found`` does. Neighbours are records,
-    copies among them, and ``n_queries`` counts the ids with any; without one, ``recall`` is null.
+    and R for the five nearest within R, as ``p3_found`` does; both searches have the same
+    ``partitions`` and ``probes``. Neighbours are records, copies among them, and
+    ``n_queries`` counts the ids with any; without one, ``recall`` is null.
     """
     out = None
     for name, (key, vector, dim, kind, most) in SOURCES.items():
@@ -222,53 +299,41 @@ def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recall(spark: SparkSession, df: DataFrame, id_column: str, vector: Column, dim: int, kind: str, most: float, every: int) -> DataFrame:
-    """``within, n_queries, recall`` of both default searches, for the ids divisible by ``every``."""
+    """``within, partitions, probes, n_queries, recall`` of both searches as they are by default, for the ids divisible by ``every``."""
     rows, groups = vector_groups(spark, df, id_column, vector, dim, kind, K_NEAREST + 1)
     wanted = rows.where(F.col("id") % every == 0)
     held = members(wanted, groups.select("gid", "reps")).select("gid", F.lit(True).alias("asked")).distinct()
     groups = materialise(spark, groups.join(held, "gid", "left").withColumn("asked", F.coalesce("asked", F.lit(False))), "asked")
-    found = materialise(spark, neighbours(spark, groups, dim, kind, K_NEAREST, queries=F.col("asked")), "found")
-    exact = exact_neighbours(spark, groups, dim, kind, K_NEAREST, F.col("asked"), found)
-    close = neighbours(spark, groups, dim, kind, K_FOUND, most=most, queries=F.col("asked"))
-    true = materialise(spark, _records(wanted, groups, exact, K_NEAREST), "exact")
+    router = fit_router(groups, groups.count(), dim, kind)
+    found = neighbours(spark, groups, dim, kind, K_NEAREST, queries=F.col("asked"), router=router)
+    close = neighbours(spark, groups, dim, kind, K_FOUND, most=most, queries=F.col("asked"), router=router)
+    true = materialise(spark, _records(wanted, groups, exact_neighbours(spark, groups, dim, kind, K_NEAREST, F.col("asked")), K_NEAREST), "exact")
     true_close = true.where((F.col("d") <= most) & (F.col("rank") <= K_FOUND))
     out = None
     for within, every_one, near, k in ((None, true, found, K_NEAREST), (most, true_close, close, K_FOUND)):
         got = _records(wanted, groups, near, k).select("id", "neighbour", F.lit(1).alias("hit"))
         hit = every_one.join(got, ["id", "neighbour"], "left")
         row = hit.agg(F.countDistinct("id").alias("n_queries"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"))
-        row = row.select(F.lit(within).cast("double").alias("within"), "*")
+        row = row.select(F.lit(within).cast("double").alias("within"), F.lit(2**router.depth).alias("partitions"), F.lit(default_probes(2**router.depth)).alias("probes"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 
 
-def exact_neighbours(spark: SparkSession, groups: DataFrame, dim: int, kind: str, k: int, queries: Column, known: DataFrame | None = None, shares: int = 16) -> DataFrame:
+def exact_neighbours(spark: SparkSession, groups: DataFrame, dim: int, kind: str, k: int, queries: Column, spare: int = 8) -> DataFrame:
     """The same by brute force: the stated query set, in blocks, against all vectors.
 
-    Each share of the queries meets each part of the base once; both travel as rows.
-    If a search ``known(a, b, d)`` found k for a query, none of its true k lies farther
-    than the farthest of these, which leaves few of all measured distances to rank.
+    Queries of a checked size go to all tasks, more meet the vectors in shares (see the
+    core's exact search). A few spare ones are ranked again, since equal rounded
+    distances go by id.
     """
-    far = None if known is None else known.groupBy("a").agg(F.max("d").alias("far"), F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("a").alias("gid"), "far")
-    parts = max(1, int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
-    base = groups.select("gid", "v", F.lit(0.0).alias("far"), F.lit(False).alias("asked"), F.pmod(F.xxhash64("gid"), F.lit(parts)).cast("int").alias("part"), F.explode(F.array(*map(F.lit, range(shares)))).alias("share"))
-    sought = groups.where(queries).select("gid", "v")
-    sought = sought.withColumn("far", F.lit(1e150)) if far is None else sought.join(far, "gid", "left").withColumn("far", F.coalesce("far", F.lit(1e150)))
-    asked = sought.select("gid", "v", "far", F.lit(True).alias("asked"), F.explode(F.array(*map(F.lit, range(parts)))).alias("part"), F.pmod(F.xxhash64("gid", F.lit(3)), F.lit(shares)).cast("int").alias("share"))
 
-    def search(rows: pa.Table) -> pa.Table:
-        mask = rows.column("asked").to_numpy()
-        ids, x = rows.column("gid").to_numpy(), matrix(rows.column("v"), dim, kind).astype(np.float64)
-        if mask.all() or not mask.any():
-            return pa.table({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "d": np.zeros(0)})
-        q, most = np.flatnonzero(mask), rows.column("far").to_numpy()[mask]
-        parts = [(some, _near(x[q[some]], x[~mask], k + 1, bound)) for some, bound in ((most < 1e100, most[most < 1e100]), (most >= 1e100, None)) if some.any()]
-        i = np.concatenate([np.flatnonzero(some)[found[0]] for some, found in parts])
-        j, d = (np.concatenate([found[c] for _, found in parts]) for c in (1, 2))
-        a, b = ids[q[i]], ids[~mask][j]
-        return pa.table({"a": a[a != b], "b": b[a != b], "d": d[a != b]})
-
-    found = base.unionByName(asked).groupBy("part", "share").applyInArrow(search, "a long, b long, d double")
+    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), binary(matrix(batch.column(1), dim, kind).astype(np.float64))], ["gid", "v"])
+
+    asked = groups.where(queries).select("gid", "v").mapInArrow(wide, "qid long, v binary") if kind != "f8" else groups.where(queries).select(F.col("gid").alias("qid"), "v")
+    base = groups.select("gid", "v").mapInArrow(wide, "vec_id long, v binary") if kind != "f8" else groups.select(F.col("gid").alias("vec_id"), "v")
+    found = nearest(spark, asked, base, dim, k + 1 + spare, "l2").where("qid <> vec_id").select(F.col("qid").alias("a"), F.col("vec_id").alias("b"), F.round("dist", 6).alias("d"))
     return found.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= k).select("a", "b", "d")
 
 

@@ -35,7 +35,10 @@ def test_copies_and_ties(spark):
 
 
 def test_shares_of_large_partitions(spark, monkeypatch):
-    monkeypatch.setattr(similar, "TASK_ROWS", 50)
+    monkeypatch.setattr(similar, "TASK_ROWS", 30)
+    monkeypatch.setattr(similar, "PART_ROWS", 60)  # one block of eight partitions, in shares of vectors and of queries
+    monkeypatch.setattr(similar, "LEAST_PROBES", 8)
+    monkeypatch.setattr(similar, "LEAST_BLOCK_LEVELS", 0)
     x = np.random.default_rng(1).normal(size=(400, 4)).astype("f4").astype(float)
     assert got(similar_records(spark, vectors(spark, x), "vec_id", F.col("embedding"), 4, "f4", 3)) == want(np.arange(400), x, 3)
 
@@ -83,6 +86,33 @@ def test_recall_asks_with_every_stated_id(spark):
     assert out[0.0]["n_queries"] == 1 and out[0.0]["recall"] == 1.0  # the copies of 100
 
 
+def test_second_level_of_the_router(spark, monkeypatch):
+    monkeypatch.setattr(similar, "LEVELS", 3)
+    rng = np.random.default_rng(12)
+    x = (rng.normal(0, 3, (20, 8))[rng.integers(0, 20, 6000)] + rng.normal(size=(6000, 8))).astype("f4").astype(float)
+    _, groups = vector_groups(spark, vectors(spark, x), "vec_id", F.col("embedding"), 8, "f4", 1)
+    router = similar.fit_router(groups, 6000, 8, "f4", sample=1000, part_rows=100)
+    assert router.depth == 6
+    sizes = np.bincount(router.route(x, 1)[:, 0], minlength=64)
+    assert sizes.min() > 20 and sizes.max() < 3 * 94
+    asked = F.col("gid") % 50 == 0
+    truth = {(r["a"], r["b"]) for r in exact_neighbours(spark, groups, 8, "f4", 10, asked).collect()}
+    found = {(r["a"], r["b"]) for r in neighbours(spark, groups, 8, "f4", 10, 12, queries=asked, router=router).collect()}
+    assert len(truth & found) / len(truth) >= 0.9
+
+
+def test_grown_router_routes_as_its_parts():
+    x = np.random.default_rng(13).normal(2, 3, size=(4096, 5))
+    top = LearnedPartitions(2).fit(x)
+    own = top.route(x, 1)[:, 0]
+    below = {p: LearnedPartitions(3).fit(x[own == p]) for p in range(4)}
+    leaf = top.grown(below, 3).route(x, 32)[:, 0]
+    alone = top.grown(below, 3).route(x, 1)[:, 0]
+    assert (leaf == alone).mean() > 0.8  # the beam may find a better one elsewhere
+    for p in range(4):
+        assert (alone[own == p] == 8 * p + below[p].route(x[own == p], 1)[:, 0]).mean() > 0.999
+
+
 def test_router_is_balanced():
     x = np.random.default_rng(3).normal(size=(2048, 6))
     parts = LearnedPartitions(4).fit(x).route(x, 3)
