@@ -19,6 +19,11 @@ def fold(value: str) -> str:
     return " ".join(value.lower().split())
 
 
+def solid(value: str) -> int:
+    """Characters that are no blanks."""
+    return len("".join(value.split()))
+
+
 class Tokenizer:
     """Finite-state splitter of packed fields.
 
@@ -28,7 +33,9 @@ class Tokenizer:
     name may contain separators, quotes or brackets. Otherwise a quote opens a quoted
     value, in which separators are text, a doubled or backslash-escaped quote stands
     for one, and the closing quote must be followed by a separator, a closing bracket
-    or the end; a quote that never closes is text. Empty values are skipped.
+    or the end; a quote that never closes is text. Empty values are skipped. No stretch
+    is looked up beyond ``max_known``, as ``measure`` counts; so it must not exceed what
+    is left of a text by ``key``.
     """
 
     def __init__(
@@ -38,10 +45,11 @@ class Tokenizer:
         key: Callable[[str], str] = fold,
         symbols: tuple[str, ...] = SYMBOLS,
         words: tuple[str, ...] = WORDS,
+        measure: Callable[[str], int] = solid,
     ):
         symbol = "[" + "".join(map(re.escape, symbols)) + "]"
         word = "|".join(map(re.escape, sorted(words, key=len, reverse=True)))
-        self.known, self.key, self.max_known = known, key, max_known
+        self.known, self.key, self.max_known, self.measure = known, key, max_known, measure
         self.separator = re.compile(rf"{symbol}|\s(?:{word})(?=\s)", re.IGNORECASE)
         self.boundary = re.compile(rf"{symbol}|\s(?:{word})(?=\s)|[\])}}]", re.IGNORECASE)
         self.plain = re.compile(rf"{symbol}|\s(?:{word})(?=\s)|[\[({{\])}}]", re.IGNORECASE)
@@ -54,7 +62,7 @@ class Tokenizer:
         ends = (m.start() for m in self.boundary.finditer(text, at + 1))
         for end in [*ends, None] if len(text) - at < 4096 else self._far(ends):
             end = len(text) if end is None else end
-            length += len("".join(text[last:end].split()))
+            length += self.measure(text[last:end])
             last = end
             if self.key(text[at:end]) in self.known:
                 best = end
@@ -146,7 +154,7 @@ class Tokenizer:
                 at += 1
             length, last = 0, at
             for end in [*(m.start() for m in self.boundary.finditer(text, at + 1)), len(text)]:
-                length += len("".join(text[last:end].split()))
+                length += self.measure(text[last:end])
                 last = end
                 out.add(self.key(text[at:end]))
                 if length > self.max_known:

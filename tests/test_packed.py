@@ -62,3 +62,19 @@ def test_table(spark):
         assert sorted((r["id"], r["pos"], r["value"]) for r in out.collect()) == want
     assert split_packed(spark, df.limit(0), "packed", "id", names).count() == 0
     assert split_packed(spark, df, "packed", "id").where("id = 1").count() == 6
+
+
+def test_hot_text_of_a_large_reference(spark, monkeypatch):
+    from nearfield.operators import packed
+
+    monkeypatch.setattr(packed.join_texts, "__defaults__", (50,))
+    df = spark.range(300).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'Bekov/Anchor; Tilk' ELSE concat('a', id, '/b') END AS packed")
+    names = spark.createDataFrame([(n,) for n in NAMES], "name string")
+    out = sorted(map(tuple, split_packed(spark, df, "packed", "id", names, max_broadcast_names=2).collect()))
+    assert out == sorted(map(tuple, split_packed(spark, df, "packed", "id", names).collect())) and len(out) == 600
+
+
+def test_one_pass_over_the_texts(spark):
+    df = spark.createDataFrame([(1, "a; b")], "id long, packed string")
+    plan = split_packed(spark, df, "packed", "id").where("n_values >= 2")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Python") + plan.count("MapInArrow") == 1
