@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfield.llm.proportions import proportional_sample, target_report
-from nearfield.llm.spelling import Trie, canonical, radix_buckets, spelling_copies
+from nearfield.llm.spelling import Trie, canonical, radix_buckets, spelling_groups
 from nearfield.llm.stable import golden_sample, sequence_numbers
 from nearfield.llm.topn import top_n_per_group
 
@@ -46,7 +46,8 @@ def test_canonical():
 def test_trie():
     t = Trie()
     keys = [b"", b"a", b"abcdefgh", b"abcdefghi", b"abcdefgh", b"a"]
-    assert [t.add(k) for k in keys] == [0, 1, 2, 3, 2, 1] and t.size == 4
+    last = {k: t.add(k, 10 - at, at + 1) for at, k in enumerate(keys)}
+    assert last == {b"": [10, 1], b"a": [5, 8], b"abcdefgh": [6, 8], b"abcdefghi": [7, 4]}
 
 
 ROWS = [
@@ -63,26 +64,40 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("bucket_rows", [50_000, 1])
-def test_copies(spark, bucket_rows):
+@pytest.mark.parametrize("bucket_rows, max_known", [(50_000, 10), (1, 10), (50_000, 1)])
+def test_copies(spark, bucket_rows, max_known):
     df = spark.createDataFrame([(*r, 0) for r in ROWS], "id long, t string, a string, l string, key int").repartition(3)
     names = spark.createDataFrame([("A",), ("B",), (None,)], "n string")
-    got = spelling_copies(spark, df, "id", ["t", "a", "l"], ["a"], names, "n", bucket_rows=bucket_rows)
-    assert sorted(set((r["first_row_id"], r["row_id"]) for r in got.collect())) == [(3, 3), (3, 5), (3, 9), (4, 4), (7, 7)]
-    assert spelling_copies(spark, df.limit(0), "id", ["t", "a", "l"], ["a"], names, "n").count() == 0
+    members, groups = spelling_groups(spark, df, "id", ["t", "a", "l"], ["a"], names, "n", max_known, bucket_rows)
+    got = Counter((r["first_row_id"], r["row_id"]) for r in members.collect())
+    assert got == {(3, 3): 1, (3, 5): 1, (3, 9): 2, (4, 4): 1, (7, 7): 1}
+    assert sorted(map(tuple, groups.collect())) == [(3, 4), (4, 1), (7, 1)]
+    members, groups = spelling_groups(spark, df.limit(0), "id", ["t", "a", "l"], ["a"], names, "n", max_known, bucket_rows)
+    assert members.count() == groups.count() == 0
 
 
 def test_hot_copies(spark):
     """A third of all rows are one record."""
     df = spark.range(9000).select("id", F.when(F.col("id") % 3 == 0, F.lit("Hot One")).otherwise(F.concat(F.lit("T"), "id")).alias("t"), F.lit("A").alias("a"), F.lit("L").alias("l"))
     names = spark.createDataFrame([("A",)], "n string")
-    got = spelling_copies(spark, df.repartition(4), "id", ["t", "a", "l"], ["a"], names, "n", bucket_rows=100).groupBy("first_row_id").count()
-    assert Counter(r["count"] for r in got.collect()) == {3000: 1, 1: 6000}
+    members, groups = spelling_groups(spark, df.repartition(4), "id", ["t", "a", "l"], ["a"], names, "n", bucket_rows=100)
+    assert Counter(r["n_rows"] for r in groups.collect()) == {3000: 1, 1: 6000}
+    assert Counter(r["count"] for r in members.groupBy("first_row_id").count().collect()) == {3000: 1, 1: 6000}
 
 
-def test_radix_buckets_fit(spark):
+def test_names_full_of_signs(spark):
+    """What bounds the stretches looked up are letters and digits, whatever stands between them."""
+    df = spark.createDataFrame([(1, "T", "A, B & C; D", "L"), (2, "t", "D; a,  -- ** -- !!!! b ///// & ..... c", "l")], "id long, t string, a string, l string")
+    names = spark.createDataFrame([("A, B & C",), ("D",), ("E",)], "n string")
+    for max_known in (10, 1):
+        groups = spelling_groups(spark, df, "id", ["t", "a", "l"], ["a"], names, "n", max_known)[1]
+        assert list(map(tuple, groups.collect())) == [(1, 2)]
+
+
+@pytest.mark.parametrize("max_splits", [1000, 0])
+def test_radix_buckets_fit(spark, max_splits):
     reps = spark.range(3000).select(F.col("id").alias("rep_id"), F.concat(F.lit("samestart"), F.format_string("%05d", "id")).cast("binary").alias("key"))
-    sizes = [r["count"] for r in radix_buckets(reps, 3000, 200).groupBy("bucket").count().collect()]
+    sizes = [r["count"] for r in radix_buckets(spark, reps, 200, max_splits).groupBy("bucket").count().collect()]
     assert max(sizes) <= 200 and sum(sizes) == 3000
 
 
