@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from nearfield.operators.pq import ProductQuantizer, subspace_bounds
 from nearfield.functions.arrays import packed
 from nearfield.plans.sql import VECTORS, best, books, knn, lloyd, probes
 from nearfield.sources.persist import load_hnsw, load_ivf, save_hnsw, save_ivf
-from nearfield.sources.tables import shared_dir, table
+from nearfield.sources.tables import new_path, table
 from nearfield.streaming.assign import append_cells
 
 K, NLIST, NPROBE, STEPS = 10, 16, 4, 3
@@ -117,7 +116,7 @@ def _few(spark: SparkSession, sf_dir: str):
 
 def ivf_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, e = _ivf(spark, sf_dir)
-    path = f"{shared_dir(spark)}/ivf-{uuid.uuid4().hex}"
+    path = new_path(spark, "ivf")
     save_ivf(spark, index, path)
     return _shown(load_ivf(spark, path).search(spark, as_queries(e), K, NPROBE))
 
@@ -202,7 +201,7 @@ def hnsw_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hnsw_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, e = _hnsw(spark, sf_dir)
-    path = f"{shared_dir(spark)}/hnsw-{uuid.uuid4().hex}"
+    path = new_path(spark, "hnsw")
     save_hnsw(spark, index, path)
     return _shown(load_hnsw(spark, path).search(spark, as_queries(e), K))
 
@@ -226,7 +225,7 @@ def stream_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The embeddings as a stream of files, appended to their cells."""
     model, _ = _kmeans(spark, sf_dir)
     stream = spark.readStream.schema("vec_id long, embedding array<float>, label int").option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir)
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    path = new_path(spark, "stream")
     append_cells(spark, stream, model, f"{path}/cells", f"{path}/state").awaitTermination()
     return spark.read.parquet(f"{path}/cells").select("vec_id", F.col("cell").cast("int").alias("cell"))
 
