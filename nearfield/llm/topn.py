@@ -23,12 +23,13 @@ def top_n_per_group(
     """``group, rn, item, score`` of the ``n`` best items of every group.
 
     The score range is cut at quantiles into bands that hold ``first_share`` of the
-    rows and ``growth`` times more each. From the top, a band is read with its bounds
-    pushed to the scan, groups already filled are anti-joined away, and its rows
-    together with what open groups carry over (fewer than ``n`` rows a group) are
-    ranked exactly; a group with ``n`` rows then is final, since all later scores are
-    lower. The window is limited before its shuffle, so a group of any size sends at
-    most ``n`` rows a task.
+    rows and ``growth`` times more each. All bands but the last, a small part of the
+    rows, are written once, parted by band, with one scan that has their lower bound
+    pushed down. From the top, a band is read, groups already filled are anti-joined
+    away, and its rows together with what open groups carry over (fewer than ``n`` rows
+    a group) are ranked exactly; a group with ``n`` rows then is final, since all later
+    scores are lower. When every group is filled no lower band is read. The window is
+    limited before its shuffle, so a group of any size sends at most ``n`` rows a task.
 
     An item counts once a group, with its highest score; equal scores go by item
     ascending in byte order. Rows with a null group, item or score (NaN too) do not
@@ -44,29 +45,36 @@ def top_n_per_group(
         share *= growth
     cuts = sorted(set(rows.select(F.percentile_approx("s", shares, 1000)).first()[0] or []), reverse=True)
     by_score = Window.partitionBy("g").orderBy(F.desc("s"), F.asc("i"))
-    done, open_rows, filled, high = [], None, None, None
-    for low in [*cuts, None]:
-        band = rows
-        if low is not None:
-            band = band.where(F.col("s") >= low)
-        if high is not None:
-            band = band.where(F.col("s") < high)
+
+    def ranked(some: DataFrame) -> DataFrame:
+        return some.groupBy("g", "i").agg(F.max("s").alias("s")).withColumn("rn", F.row_number().over(by_score)).where(F.col("rn") <= n)
+
+    def shown(some: DataFrame) -> DataFrame:
+        return some.select(F.col("g").alias(group), "rn", F.col("i").alias(item), F.col("s").alias(score))
+
+    if not cuts:
+        return shown(ranked(rows))
+    groups = rows.select("g").distinct().count()
+    band = F.lit(0)
+    for cut in cuts[:-1]:
+        band = band + (F.col("s") < F.lit(cut)).cast("int")
+    upper = materialise(spark, rows.where(F.col("s") >= F.lit(cuts[-1])).withColumn("band", band), "bands", "band")
+    done, open_rows, filled = [], None, None
+    for k in range(len(cuts)):
+        some = upper.where(F.col("band") == k).select("g", "i", "s")
         if filled is not None:
-            band = band.join(filled, "g", "left_anti")
-        if open_rows is not None:
-            band = band.unionByName(open_rows)
-        ranked = band.groupBy("g", "i").agg(F.max("s").alias("s")).withColumn("rn", F.row_number().over(by_score)).where(F.col("rn") <= n)
-        if low is None:
-            done.append(ranked)
-            break
-        ranked = materialise(spark, ranked, "topn")
-        now = ranked.where(F.col("rn") == n).select("g")
-        done.append(ranked.join(now, "g", "left_semi"))
-        open_rows = ranked.join(now, "g", "left_anti").select("g", "i", "s")
+            some = some.join(filled, "g", "left_anti").unionByName(open_rows)
+        top = materialise(spark, ranked(some), "topn")
+        now = top.where(F.col("rn") == n).select("g")
+        done.append(top.join(now, "g", "left_semi"))
+        open_rows = top.join(now, "g", "left_anti").select("g", "i", "s")
         filled = now if filled is None else filled.unionByName(now)
-        high = low
-    out = reduce(DataFrame.unionByName, done)
-    return out.select(F.col("g").alias(group), "rn", F.col("i").alias(item), F.col("s").alias(score))
+        if filled.count() == groups:
+            break
+    else:
+        below = rows.where(F.col("s") < F.lit(cuts[-1])).join(filled, "g", "left_anti").unionByName(open_rows)
+        done.append(ranked(below))
+    return shown(reduce(DataFrame.unionByName, done))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

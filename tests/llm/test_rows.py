@@ -153,3 +153,11 @@ def test_stable_sample_edges(spark):
     assert golden_sample(spark, df.limit(0), "item", "at", 0.5).count() == 0
     with pytest.raises(ValueError):
         golden_sample(spark, df, "item", "at", 2.0)
+
+
+def test_top_n_stops_when_all_are_filled(spark):
+    df = spark.range(20_000).selectExpr("concat('g', id % 5) AS g", "concat('i', id) AS i", "CAST(id AS INT) AS s")
+    found = top_n_per_group(spark, df, "g", "i", "s", 3, 0.02, 4.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Range" not in plan and "topn" in str(found.inputFiles())  # the table is not read again, nor the second band
+    assert sorted((r["g"], r["rn"], r["i"]) for r in found.collect()) == sorted((f"g{(19_999 - k) % 5}", k // 5 + 1, f"i{19_999 - k}") for k in range(15))
