@@ -9,8 +9,8 @@ from nearfield.llm.proportions import uniform
 from nearfield.llm.tokens import token_counts
 from nearfield.sources.tables import materialise, table
 
-#: Sets of sources that documents belong to; as many rows reach the driver.
-MAX_PATTERNS = 10_000
+#: Different sets of listed sources that documents belong to, and listed sources; as many rows reach the driver.
+MAX_PATTERNS = 200_000
 BANDS = 1024
 
 
@@ -19,62 +19,98 @@ def min_cost_flow(supply: list[float], members: list[list[int]], quota: list[flo
 
     Pattern ``p`` offers ``supply[p]`` tokens at each repetition; the r-th costs r a
     token, which is convex, so all are used once before any is used twice. To source
-    ``s`` it gives at most ``repeats[s]`` times its tokens. Flow is sent along cheapest
-    residual paths (Bellman-Ford) until no quota can be raised.
+    ``s`` it gives at most ``repeats[s]`` times its tokens. Moving tokens between
+    sources costs nothing, so a path costs what its pattern's repetition does: successive
+    cheapest paths are one maximal flow after another, each with one repetition more.
+    Paths of a flow are taken along shortest layers, all of a layering at once, and a
+    pattern serves its smaller quotas first.
     """
     eps = 1e-9 * max(1.0, sum(quota))
-    flow: list[dict[int, float]] = [{s: 0.0 for s in m if repeats[s] > 0} for m in members]
-    used, met = [0.0] * len(supply), [0.0] * len(quota)
+    flow: list[dict[int, float]] = [{s: 0.0 for s in sorted(m, key=lambda s: (quota[s], s)) if repeats[s] > 0} for m in members]
     most = [max((repeats[s] for s in f), default=0) for f in flow]
-
-    def level(p: int) -> tuple[int, float]:
-        """The repetition pattern p is at, and what is left of it."""
-        r = int(used[p] / supply[p] + 1e-12) if supply[p] > 0 else most[p]
-        return r + 1, (r + 1) * supply[p] - used[p]
-
-    while True:
-        cost: dict[tuple[str, int], float] = {}
-        back: dict[tuple[str, int], tuple[str, int]] = {}
-        for p in range(len(supply)):
-            if flow[p] and supply[p] > 0 and level(p)[0] <= most[p]:
-                cost["p", p] = level(p)[0]
-        for _ in range(len(supply) + len(quota)):
-            changed = False
-            for p, to in enumerate(flow):
-                for s, x in to.items():
-                    here, there = cost.get(("p", p)), cost.get(("s", s))
-                    if here is not None and x < repeats[s] * supply[p] - eps and (there is None or here < there - 1e-12):
-                        cost["s", s], back["s", s], changed = here, ("p", p), True
-                    if there is not None and x > eps and (here is None or there < here - 1e-12):
-                        cost["p", p], back["p", p], changed = there, ("s", s), True
-            if not changed:
+    owners: list[list[int]] = [[] for _ in quota]
+    for p, to in enumerate(flow):
+        for s in to:
+            owners[s].append(p)
+    used, need = [0.0] * len(supply), list(map(float, quota))
+
+    def layered(left: list[float]) -> tuple[dict[int, int], dict[int, int]] | None:
+        """Layers of patterns and sources that can be reached, up to the first with a source in need."""
+        at_p = {p: 0 for p, x in enumerate(left) if x > eps}
+        at_s: dict[int, int] = {}
+        front, depth = list(at_p), 0
+        while front:
+            sources = []
+            for p in front:
+                for s, x in flow[p].items():
+                    if s not in at_s and repeats[s] * supply[p] - x > eps:
+                        at_s[s] = depth
+                        sources.append(s)
+            if any(need[s] > eps for s in sources):
+                return at_p, at_s
+            depth, front = depth + 1, []
+            for s in sources:
+                for p in owners[s]:
+                    if p not in at_p and flow[p][s] > eps:
+                        at_p[p] = depth
+                        front.append(p)
+        return None
+
+    def push(start: int, left: list[float], at_p: dict[int, int], at_s: dict[int, int], todo: dict) -> bool:
+        """One path from pattern ``start`` along the layers; what leads nowhere is not tried again."""
+        path: list[tuple[int, int]] = []
+        p = start
+        while True:
+            edges = todo.setdefault(p, list(flow[p])[::-1])
+            while edges and not (at_s.get(edges[-1]) == at_p[p] and repeats[edges[-1]] * supply[p] - flow[p][edges[-1]] > eps):
+                edges.pop()
+            if not edges:
+                if not path:
+                    return False
+                p, s = path.pop()
+                todo["s", s].pop()
+                continue
+            s = edges[-1]
+            path.append((p, s))
+            if need[s] > eps:
                 break
-        ends = [(cost["s", s], s) for s in range(len(quota)) if ("s", s) in cost and quota[s] - met[s] > eps]
-        if not ends:
-            return flow
-        s = min(ends)[1]
-        path = [("s", s)]
-        while path[-1] in back:
-            path.append(back[path[-1]])
-        path.reverse()
-        amount = min(quota[s] - met[s], level(path[0][1])[1])
-        for a, b in zip(path, path[1:]):
-            p, t = (a[1], b[1]) if a[0] == "p" else (b[1], a[1])
-            amount = min(amount, repeats[t] * supply[p] - flow[p][t] if a[0] == "p" else flow[p][t])
-        for a, b in zip(path, path[1:]):
-            if a[0] == "p":
-                flow[a[1]][b[1]] += amount
+            back = todo.setdefault(("s", s), list(owners[s]))
+            while back and not (at_p.get(back[-1]) == at_s[s] + 1 and flow[back[-1]][s] > eps):
+                back.pop()
+            if back:
+                p = back[-1]
             else:
-                flow[b[1]][a[1]] -= amount
-        used[path[0][1]] += amount
-        met[s] += amount
+                path.pop()
+                edges.pop()
+        amount = min(left[start], need[path[-1][1]])
+        for k, (p, s) in enumerate(path):
+            amount = min(amount, repeats[s] * supply[p] - flow[p][s])
+            if k + 1 < len(path):
+                amount = min(amount, flow[path[k + 1][0]][s])
+        for k, (p, s) in enumerate(path):
+            flow[p][s] += amount
+            if k + 1 < len(path):
+                flow[path[k + 1][0]][s] -= amount
+        left[start] -= amount
+        used[start] += amount
+        need[path[-1][1]] -= amount
+        return True
+
+    for repetition in range(1, max(most, default=0) + 1):
+        left = [min(repetition, m) * x - u for m, x, u in zip(most, supply, used)]
+        while any(x > eps for x in need) and (layers := layered(left)):
+            todo: dict = {}
+            for p in [p for p, depth in layers[0].items() if depth == 0]:
+                while left[p] > eps and push(p, left, *layers, todo):
+                    pass
+    return flow
 
 
 def mixture(spark: SparkSession, docs: DataFrame, key: str, sources: str, size: str, targets: DataFrame, seed: int = 29) -> tuple[DataFrame, DataFrame]:
     """``(uses, report)``: ``key, source, uses, size`` and, per target source, what was reached.
 
     ``sources`` is an array column: all sources a document belongs to. Documents are
-    added up by their set of sources, flow decides what each set gives each source, and
+    added up by their set of those that are listed, flow decides what each set gives each source, and
     documents are taken in a seeded order along a tape of their sizes, repeated as often
     as needed; a source takes one stretch of its sets' tapes, so a document serves it at
     most ``max_repeats`` times and the amount is met within one document a set. Places
@@ -84,14 +120,19 @@ def mixture(spark: SparkSession, docs: DataFrame, key: str, sources: str, size:
     ``target`` is the share times the size of all documents, each once, those of null or
     unlisted sources too. A null share is 0, a null ``max_repeats`` 1; documents of null
     or negative size count 0 and are not used; null keys are not used; a repeated
-    source in ``targets`` takes its largest figures.
+    source in ``targets`` takes its largest figures. ``reached_share`` is of the target
+    total, ``mixture_share`` of what was drawn.
     """
     wish = targets.where("source IS NOT NULL").groupBy("source").agg(F.coalesce(F.max("target_share"), F.lit(0.0)).alias("share"), F.coalesce(F.max("max_repeats"), F.lit(1)).alias("repeats"))
     goals = wish.orderBy("source").limit(MAX_PATTERNS + 1).collect()
-    rows = docs.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(F.filter(F.coalesce(F.col(sources), F.array().cast("array<string>")), lambda s: s.isNotNull()))).alias("set"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("size"))
+    if len(goals) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} sources")
+    listed = F.array(*(F.lit(g["source"]) for g in goals)).cast("array<string>")
+    own = F.array_sort(F.array_intersect(F.coalesce(F.col(sources), F.array().cast("array<string>")), listed))
+    rows = docs.select(F.col(key).alias("key"), own.alias("set"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("size"))
     rows = materialise(spark, rows, "sizes")
     sums = rows.groupBy("set").agg(F.sum("size").alias("n"), F.sum(F.when(F.col("key").isNotNull(), F.col("size")).otherwise(0)).alias("usable")).limit(MAX_PATTERNS + 1).collect()
-    if max(len(sums), len(goals)) > MAX_PATTERNS:
+    if len(sums) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} sets of sources")
     total = sum(r["n"] for r in sums)
     index = {g["source"]: k for k, g in enumerate(goals)}
@@ -120,7 +161,9 @@ def mixture(spark: SparkSession, docs: DataFrame, key: str, sources: str, size:
     plan = spark.createDataFrame(lines, "source string, target_share double, max_repeats int, target double, planned double, short boolean")
     got = uses.groupBy("source").agg(F.sum(F.col("uses") * F.col(size)).alias("reached"), F.sum("uses").alias("uses"), F.max("uses").alias("most_uses"))
     share = F.coalesce(F.col("reached"), F.lit(0)) / F.lit(float(max(total, 1)))
-    report = plan.join(got, "source", "left").select("source", "target_share", "max_repeats", F.round("target", 3).alias("target"), F.coalesce("reached", F.lit(0)).alias("reached"), F.round(share, 6).alias("reached_share"), F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "short")
+    whole = F.sum(F.coalesce("reached", F.lit(0))).over(Window.partitionBy(F.lit(0)))  # a row a source
+    mixed = F.coalesce(F.coalesce("reached", F.lit(0)) / F.when(whole > 0, whole), F.lit(0.0))
+    report = plan.join(got, "source", "left").select("source", "target_share", "max_repeats", F.round("target", 3).alias("target"), F.coalesce("reached", F.lit(0)).alias("reached"), F.round(share, 6).alias("reached_share"), F.round(mixed, 6).alias("mixture_share"), F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "short")
     return uses, report
 
 
@@ -147,5 +190,20 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
-QUERIES = {"p9_found": p9_found, "p9_mixture": p9_mixture, "p9_report": p9_report}
+def p9_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a mixture in which a document counts for its source and for its collection.
+
+    Sources have half of their target shares; the other half goes to all collections in
+    equal parts, each document used at most three times.
+    """
+    docs = table(spark, sf_dir, "documents")
+    sizes = token_counts(docs, "text", ["doc_id", "source", "repo"])
+    sizes = sizes.withColumn("sources", F.array(F.concat(F.lit("source "), "source"), F.concat(F.lit("repo "), "repo")))
+    named = table(spark, sf_dir, "source_targets").select(F.concat(F.lit("source "), "source").alias("source"), (F.col("target_share") / 2).alias("target_share"), "max_repeats")
+    repos = docs.where("repo IS NOT NULL").select("repo").distinct()
+    each = F.lit(0.5) / F.count("*").over(Window.partitionBy(F.lit(0)))  # a row a collection
+    return mixture(spark, sizes, "doc_id", "sources", "n_tokens", named.unionByName(repos.select(F.concat(F.lit("repo "), "repo").alias("source"), each.alias("target_share"), F.lit(3).alias("max_repeats"))))[1]
+
+
+QUERIES = {"p9_found": p9_found, "p9_mixture": p9_mixture, "p9_report": p9_report, "p9_overlap": p9_overlap}
 SQL: dict[str, str] = {}

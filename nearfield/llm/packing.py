@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from nearfield.llm.tokens import token_counts
 from nearfield.sources.tables import materialise, table
 
-CAPACITY = 8192
-#: The histogram of sizes reaches the driver: one entry a size, so at most the capacity.
-MAX_CAPACITY = 1 << 20
+#: Permitted lengths of containers; none is longer than the last.
+CAPACITIES = (2048, 4096, 8192)
+#: The histogram of sizes reaches the driver, at most so many entries; with larger
+#: capacities sizes count in units, rounded up.
+MAX_SIZES = 1 << 20
 #: Items of one size that one task numbers.
 NUMBERED_ROWS = 100_000
 
@@ -97,35 +99,42 @@ def best_fit(histogram: dict[int, int], capacities: tuple[int, ...]) -> list[Pat
     return sorted(packed, key=lambda p: (-p.capacity, p.room, p.items))
 
 
-def pack(spark: SparkSession, items: DataFrame, key: str, size: str, capacities: tuple[int, ...] = (CAPACITY,)) -> DataFrame:
+def pack(spark: SparkSession, items: DataFrame, key: str, size: str, capacities: tuple[int, ...] = CAPACITIES, max_sizes: int = MAX_SIZES) -> DataFrame:
     """``key, piece, size, bin_id, bin_start, capacity``: every item's place.
 
     An item larger than the largest capacity is cut into pieces of it and a rest, no
-    other is. Containers are planned on the histogram of sizes; items then take the
-    places of their size by their number among the items of that size, numbered in
-    salted shares, so neither many items nor many of one size meet in one task.
+    other is. Containers are planned on the histogram of sizes, with all ``capacities``
+    at once (see ``best_fit``); items then take the places of their size by their number
+    among the items of that size, numbered in salted shares, so neither many items nor
+    many of one size meet in one task. If the largest capacity exceeds ``max_sizes``,
+    sizes are rounded up to a unit that leaves as many, for planning only: no container
+    is overfilled, and up to a unit an item stays unused.
 
     An item of size 0 or null takes no room: one row, ``bin_id`` null. A repeated key is
     another item; a null key is kept; an empty table gives no rows; further columns are
     not read.
     """
     largest = max(capacities)
-    if largest > MAX_CAPACITY or min(capacities) < 1:
-        raise ValueError(f"capacities must lie between 1 and {MAX_CAPACITY}")
+    if min(capacities) < 1:
+        raise ValueError("capacities must be at least 1")
+    unit = -(-largest // max_sizes)
+    whole = {c // unit: c for c in sorted(capacities) if c >= unit}
     rows = items.select(F.col(key).alias("key"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("total"))
     last = F.greatest(F.ceil(F.col("total") / largest) - 1, F.lit(0)).cast("int")
     pieces = rows.select("key", "total", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-    pieces = pieces.select("key", "piece", F.least(F.lit(largest), F.col("total") - F.col("piece") * largest).cast("int").alias("size"))
+    pieces = pieces.select("key", "piece", F.least(F.lit(largest), F.col("total") - F.col("piece") * largest).cast("long").alias("size"))
+    # what is larger than all whole units fills a container by itself
+    pieces = pieces.withColumn("units", F.least(F.ceil(F.col("size") / unit), F.lit(largest // unit)).cast("int"))
     pieces = materialise(spark, pieces, "pieces")
-    histogram = {r["size"]: r["count"] for r in pieces.where("size > 0").groupBy("size").count().collect()}
-    patterns = best_fit(histogram, capacities)
+    histogram = {r["units"]: r["count"] for r in pieces.where("size > 0").groupBy("units").count().collect()}  # at most ``max_sizes``
+    patterns = best_fit(histogram, tuple(whole))
     taken: dict[int, int] = {}
     slots, first = [], 0
     for p in patterns:
         start = 0
         for s, copies in p.items:
             at = taken.get(s, 0)
-            slots.append((s, at, first, copies, start, p.capacity))
+            slots.append((s, at, first, copies, start * unit, whole[p.capacity]))
             taken[s] = at + p.bins * copies
             start += s * copies
         first += p.bins
@@ -133,49 +142,48 @@ def pack(spark: SparkSession, items: DataFrame, key: str, size: str, capacities:
     shared = spark.sparkContext.broadcast(plan)  # at most a few entries a size
     shares = max(16, max(histogram.values(), default=0) // NUMBERED_ROWS)
     salted = pieces.where("size > 0").withColumn("share", F.pmod(F.xxhash64("key", "piece"), F.lit(shares)))
-    offsets = salted.groupBy("size", "share").count().withColumn("below", F.sum("count").over(Window.partitionBy("size").orderBy("share")) - F.col("count")).select("size", "share", "below")
-    number = F.row_number().over(Window.partitionBy("size", "share").orderBy("key", "piece")) - 1
-    numbered = salted.withColumn("n", number).join(offsets, ["size", "share"]).select("key", "piece", "size", (F.col("n") + F.col("below")).alias("n"))
+    offsets = salted.groupBy("units", "share").count().withColumn("below", F.sum("count").over(Window.partitionBy("units").orderBy("share")) - F.col("count")).select("units", "share", "below")
+    number = F.row_number().over(Window.partitionBy("units", "share").orderBy("key", "piece")) - 1
+    numbered = salted.withColumn("n", number).join(offsets, ["units", "share"]).select("key", "piece", "size", "units", (F.col("n") + F.col("below")).alias("n"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot = shared.value
         keys = (slot[:, 0] << 40) + slot[:, 1]
         for batch in batches:
-            s, n = (batch.column(c).to_numpy().astype(np.int64) for c in ("size", "n"))
+            s, n = (batch.column(c).to_numpy().astype(np.int64) for c in ("units", "n"))
             at = slot[np.searchsorted(keys, (s << 40) + n, side="right") - 1]
             bin_, copy = np.divmod(n - at[:, 1], at[:, 3])
-            new = [at[:, 2] + bin_, at[:, 4] + copy * s, at[:, 5]]
+            new = [at[:, 2] + bin_, at[:, 4] + copy * s * unit, at[:, 5]]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("piece"), batch.column("size"), *(pa.array(x) for x in new)], ["key", "piece", "size", "bin_id", "bin_start", "capacity"]
             )
 
     kind = dict(rows.dtypes)["key"]
-    placed = numbered.mapInArrow(place, f"key {kind}, piece int, size int, bin_id long, bin_start long, capacity long")
+    placed = numbered.mapInArrow(place, f"key {kind}, piece int, size long, bin_id long, bin_start long, capacity long")
     none = F.lit(None).cast("long")
     weightless = pieces.where("size = 0").select("key", "piece", "size", none.alias("bin_id"), none.alias("bin_start"), none.alias("capacity"))
     return placed.unionByName(weightless).withColumnsRenamed({"key": key, "size": size})
 
 
-def _packed(spark: SparkSession, sf_dir: str, capacities: tuple[int, ...] = (CAPACITY,)) -> DataFrame:
-    sizes = token_counts(table(spark, sf_dir, "documents"), "text", ["doc_id"])
-    return pack(spark, sizes, "doc_id", "n_tokens", capacities)
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that were cut."""
-    return _packed(spark, sf_dir).where("piece = 1").select("doc_id")
+    return pack(spark, _sizes(spark, sf_dir), "doc_id", "n_tokens").where("piece = 1").select("doc_id")
 
 
 def p8_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's containers of 8,192 tokens."""
-    return _packed(spark, sf_dir)
+    """Every document's containers of 2,048, 4,096 or 8,192 tokens."""
+    return pack(spark, _sizes(spark, sf_dir), "doc_id", "n_tokens")
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers, room and tokens with 8,192 tokens alone and with 2,048, 4,096 and 8,192."""
-    out = None
-    for name, capacities in (("fixed", (CAPACITY,)), ("mixed", (2048, 4096, CAPACITY))):
-        bins = _packed(spark, sf_dir, capacities).where("bin_id IS NOT NULL").groupBy("bin_id", "capacity").agg(F.sum("n_tokens").alias("used"))
+    sizes, out = materialise(spark, _sizes(spark, sf_dir), "sizes"), None
+    for name, capacities in (("fixed", CAPACITIES[-1:]), ("mixed", CAPACITIES)):
+        bins = pack(spark, sizes, "doc_id", "n_tokens", capacities).where("bin_id IS NOT NULL").groupBy("bin_id", "capacity").agg(F.sum("n_tokens").alias("used"))
         row = bins.agg(F.count("*").alias("containers"), F.sum("capacity").alias("room"), F.sum("used").alias("tokens")).select(F.lit(name).alias("capacities"), "*")
         out = row if out is None else out.unionByName(row)
     return out.withColumn("filled", F.round(F.col("tokens") / F.col("room"), 4))

@@ -83,6 +83,22 @@ def test_pack(spark, capacities):
     assert total / sum(c for _, c in room) > 0.97
 
 
+def test_pack_beyond_the_histogram(spark):
+    """Capacities above what the driver takes: sizes in units, nothing overfilled, only larger items cut."""
+    rng = random.Random(4)
+    rows = [(k, rng.choice([3, 500, 997, 1000, 1003, 2500, rng.randint(1, 1003)])) for k in range(400)]
+    got = pack(spark, spark.createDataFrame(rows, "id long, n int"), "id", "n", (300, 1003), max_sizes=64).collect()
+    bins, own = {}, {}
+    for r in got:
+        bins.setdefault((r["bin_id"], r["capacity"]), []).append((r["bin_start"], r["n"]))
+        own.setdefault(r["id"], []).append(r["n"])
+    assert {k: sum(v) for k, v in own.items()} == dict(rows) and all(len(own[k]) == -(-n // 1003) for k, n in rows)
+    for (_, capacity), placed in bins.items():
+        placed.sort()
+        assert all(a + n <= b for (a, n), (b, _) in zip(placed, placed[1:])) and placed[-1][0] + placed[-1][1] <= capacity
+    assert sum(n for _, n in rows) / sum(c for _, c in bins) > 0.85
+
+
 def test_pack_edges(spark):
     df = spark.createDataFrame([], "id long, n int")
     assert pack(spark, df, "id", "n").count() == 0
@@ -100,6 +116,56 @@ def test_flow_shares_overlaps():
     assert min_cost_flow([0.0], [[0]], [10.0], [2]) == [{0: 0.0}]
 
 
+def unit_flow(supply, members, quota, repeats):
+    """Most tokens and least cost, one token along a cheapest path after another."""
+    P, S = range(len(supply)), range(len(quota))
+    given, used, met, cost = {(p, s): 0 for p in P for s in members[p]}, [0] * len(supply), [0] * len(quota), 0
+    most = [max((repeats[s] for s in members[p]), default=0) for p in P]
+    while True:
+        away = {("p", p): used[p] // supply[p] + 1 for p in P if supply[p] and used[p] < most[p] * supply[p]}
+        back = {}
+        for _ in range(len(supply) + len(quota)):
+            for (p, s), x in given.items():
+                if ("p", p) in away and x < repeats[s] * supply[p] and away["p", p] < away.get(("s", s), 1e9):
+                    away["s", s], back["s", s] = away["p", p], ("p", p)
+                if ("s", s) in away and x > 0 and away["s", s] < away.get(("p", p), 1e9):
+                    away["p", p], back["p", p] = away["s", s], ("s", s)
+        ends = [(away["s", s], s) for s in S if ("s", s) in away and met[s] < quota[s]]
+        if not ends:
+            return sum(met), cost
+        c, s = min(ends)
+        met[s] += 1
+        cost += c
+        at = ("s", s)
+        while at in back:
+            before = back[at]
+            given[(before[1], at[1]) if before[0] == "p" else (at[1], before[1])] += 1 if before[0] == "p" else -1
+            at = before
+        used[at[1]] += 1
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.data())
+def test_flow_is_maximal_and_cheapest(data):
+    sources = data.draw(st.integers(1, 4))
+    supply = data.draw(st.lists(st.integers(0, 5), min_size=1, max_size=5))
+    members = [sorted(data.draw(st.sets(st.integers(0, sources - 1), max_size=sources))) for _ in supply]
+    quota = [data.draw(st.integers(0, 12)) for _ in range(sources)]
+    repeats = [data.draw(st.integers(0, 3)) for _ in range(sources)]
+    flow = min_cost_flow(list(map(float, supply)), members, list(map(float, quota)), repeats)
+    cost = 0.0
+    for x, given in zip(supply, flow):
+        total, level = sum(given.values()), 1
+        assert all(-1e-9 <= y <= repeats[s] * x + 1e-9 for s, y in given.items())
+        while total > 1e-9:
+            assert x
+            cost += level * min(x, total)
+            total, level = total - x, level + 1
+    met = sum(sum(f.values()) for f in flow)
+    assert all(sum(f.get(s, 0) for f in flow) <= quota[s] + 1e-9 for s in range(sources))
+    assert (met, cost) == pytest.approx(unit_flow(supply, members, quota, repeats))
+
+
 def documents(spark):
     rng = random.Random(2)
     rows = [(k, ["hot"] if k % 3 else rng.choice([["a"], ["b"], ["a", "b"], ["off"], [], None]), rng.choice([10, 30, 80])) for k in range(3000)]
