@@ -1,30 +1,38 @@
-"""Sentence boundaries in many scripts: a linear-chain tagger over characters."""
+"""Sentence boundaries in many scripts: linear-chain taggers over characters."""
 
 from __future__ import annotations
 
+import pickle
+import random
 import re
+import unicodedata
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.sources.tables import table
+from nearfield.sources.tables import materialise, table
 
 #: Context counts of all documents are kept in so many buckets, whatever their number.
 BUCKETS = 1 << 19
-#: The chain's weights are fitted on the paragraphs of at most so many documents.
-SAMPLE_DOCUMENTS = 3_000
-SAMPLE_PARAGRAPHS = 4_000
+#: The taggers' weights are fitted on about so many documents, on at most so many stretches
+#: of so many candidates of theirs.
+SAMPLE_DOCUMENTS, SAMPLE_WINDOWS, WINDOW = 3_000, 5_000, 8
+#: Longer stretches of text have no part in fitting the tagger of text without stops.
+WINDOW_CHARS = 4_096
+#: Weights of that tagger.
+WEIGHTS = 1 << 18
 
 # Characters that can end a sentence, that close after it, and pairs.
 WIDE = "。！？｡．⋯…"
-STOPS = ".!?؟۔।॥።՜։"
+STOPS = ".!?؟۔।॥።՜։။។៕།༎"
 CLOSERS = "\"'”’»›」』）)]}】〉》"
 GREEK_QUESTION = ";\u037e"
 PAIRS = {"“": "”", "«": "»", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "《": "》", "„": "“”"}
@@ -33,13 +41,14 @@ UNSTOPPED = r"\u0e00-\u0eff\u1000-\u109f"
 DENSE = UNSTOPPED + r"\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
 
 _C = re.escape(CLOSERS)
-CANDIDATE = re.compile(
+STOPPED = (
     rf"(?:[{re.escape(STOPS)}…]+(?:[ \u00a0\u202f]?[»›]|[{_C}])*)+(?=\s)"
     rf"|(?:[{re.escape(STOPS + WIDE)}]*[{re.escape(WIDE)}][{re.escape(STOPS + WIDE)}]*[{_C}]*)+"
     rf"|(?<=[\w)\]`%])[.!?](?=[A-ZÀ-ÖØ-ÞΆ-Ω])"
     rf"|(?<=[\u0370-\u03ff\u1f00-\u1fff\d)\]`%»])[;\u037e][{_C}]*(?=\s)"
-    rf"|(?<=\S)[ \t\r\n\u00a0\u3000]+(?=\S)"
 )
+CANDIDATE, CANDIDATE_OR_BLANK = re.compile(STOPPED), re.compile(STOPPED + r"|(?<=\S)[ \t\r\n\u00a0\u3000]+(?=\S)")
+_STOP = re.compile(f"[{re.escape(STOPS + WIDE + GREEK_QUESTION)}]")
 _MARKS = re.compile(r"[“”«»「」『』（）()\[\]【】《》„\"]")
 _BLANK_LINE = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 _HEADING = re.compile(r"[^\S\n]{0,3}#{1,6}[^\S\n]+")
@@ -149,12 +158,11 @@ def bucket(kind: str, key: str) -> int:
     return zlib.crc32(f"{kind}\x1f{key}".encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-@dataclass
-class Candidate:
+class Candidate(NamedTuple):
     end: int  # place after the last character of a sentence that would end here
     next: int  # place of the first character after it
     keys: tuple[int, ...]  # buckets of one and two tokens left, and right, and of the stop
-    flags: tuple[float, ...]
+    bits: int  # see ``flags_of``
 
 
 @lru_cache(1 << 12)
@@ -177,40 +185,63 @@ def context(text: str, mark_at: int, end: int, mark: str) -> tuple[int, ...]:
     return bucket("l1" + kind, l1), bucket("l2" + kind, l2), bucket("r1", r1), bucket("r2", r2), bucket("k", kind)
 
 
-def candidates(text: str, lead: int = 0) -> list[Candidate]:
+# bits of a candidate, in the order of its flags; the last is the negative of LEAD
+DEPTH, CLOSED, LEAD, LOWER, UPPER, DIGIT, OPENS, BLANK, DOT, ASKS, IS_WIDE, MORE, SEMICOLON, NEWLINE, INITIAL, TIGHT, LEAD_NOT = (1 << k for k in range(17))
+FLAGS = 16
+SIZE = 1 + 6 + FLAGS + 3
+
+
+def flags_of(bits: np.ndarray) -> np.ndarray:
+    flags = ((bits[:, None] >> np.arange(FLAGS)) & 1).astype(np.float32)
+    flags[:, 2] -= (bits >> FLAGS) & 1
+    return flags
+
+
+def _before(text: str, at: int, end: int, mark: str, opening: dict[int, int]) -> int:
+    """Bits of a stop and what stands before it."""
+    bits = 0
+    closed = opening.get(end - 1)
+    if closed is not None:
+        before = text[:closed].rstrip()
+        bits = CLOSED | (LEAD if not before or before[-1] in STOPS or before[-1] in WIDE or before[-1] in CLOSERS else LEAD_NOT)
+    if mark and not mark.isspace():
+        bits |= (DOT if mark[0] == "." else 0) | (ASKS if "!" in mark or "?" in mark or "؟" in mark else 0) | (SEMICOLON if mark[0] in GREEK_QUESTION else 0)
+        bits |= (IS_WIDE if any(c in WIDE for c in mark) else 0) | (MORE if "..." in mark or "…" in mark else 0)
+    else:
+        bits |= BLANK
+    if len(mark) == 1 and at and text[at - 1].isalpha() and (at < 2 or not text[at - 2].isalnum()):
+        bits |= INITIAL
+    return bits
+
+
+def _after(first: str) -> int:
+    """Bits of the character that follows."""
+    return (LOWER if first.islower() else 0) | (UPPER if first.isupper() else 0) | (DIGIT if first.isdigit() else 0) | (OPENS if first in PAIRS or first == '"' else 0)
+
+
+def candidates(text: str) -> list[Candidate]:
     """Places in a paragraph where a sentence may end, but for its own end."""
+    return _candidates(text, _inside(text))
+
+
+def _candidates(text: str, inside: tuple[list[int], list[int], dict[int, int]]) -> list[Candidate]:
     out: list[Candidate] = []
     size = len(text.rstrip())
-    unstopped = _UNSTOPPED.search(text) is not None
-    starts, ends, opening = _inside(text)
-    for m in CANDIDATE.finditer(text, lead):
+    starts, ends, opening = inside
+    for m in (CANDIDATE_OR_BLANK if _UNSTOPPED.search(text) else CANDIDATE).finditer(text):
         at, end, mark = m.start(), m.end(), m.group()
-        blank = not mark.strip()
-        if blank:
-            if not unstopped:
-                continue
+        if not mark.strip():
             end = at
         if end >= size or (mark[0] in GREEK_QUESTION and not _GREEK.search(text, max(0, at - 24), at)):
             continue
         after = end
         while after < size and text[after].isspace():
             after += 1
+        bits = _before(text, at, end, mark, opening) | _after(text[after]) | (NEWLINE if "\n" in text[end:after] else 0) | (TIGHT if after == end else 0)
         k = bisect_left(starts, end) - 1
-        depth = k >= 0 and ends[k] >= end
-        first = text[after]
-        closed = opening.get(end - 1)
-        lead_quote = 0.0
-        if closed is not None:
-            before = text[:closed].rstrip()
-            lead_quote = 1.0 if not before or before[-1] in STOPS or before[-1] in WIDE or before[-1] in CLOSERS else -1.0
-        previous = text[at - 1] if at else " "
-        flags = (
-            float(depth), float(closed is not None), lead_quote, float(first.islower()), float(first.isupper()), float(first.isdigit()),
-            float(first in PAIRS or first == '"'), float(blank), float(not blank and mark[0] == "."), float("!" in mark or "?" in mark or "؟" in mark),
-            float(any(c in WIDE for c in mark)), float("..." in mark or "…" in mark), float(mark[:1] in ";;"), float("\n" in text[end:after]),
-            float(len(mark) == 1 and previous.isalpha() and (at < 2 or not text[at - 2].isalnum())), float(after == end),
-        )
-        out.append(Candidate(end, after, context(text, at, after, mark), flags))
+        if k >= 0 and ends[k] >= end:
+            bits |= DEPTH
+        out.append(Candidate(end, after, context(text, at, after, mark), bits))
     return out
 
 
@@ -223,10 +254,6 @@ def _tail(text: str) -> tuple[int, str]:
     return at, text[at:end]
 
 
-FLAGS = 16
-SIZE = 1 + 6 + FLAGS + 3
-
-
 def rates(table: np.ndarray, general: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of contexts, how often they end or begin paragraphs: two tokens, backed off to one."""
     out = []
@@ -243,7 +270,7 @@ def features(table: np.ndarray, general: np.ndarray, keys: np.ndarray, flags: np
     l1, l2, nl, _, r1, r2, nr, _ = rates(table, general, keys)
     logit = lambda p: np.log((p + 0.003) / (1.003 - p)) / 3
     a, b, c, d = logit(l1), logit(l2), logit(r1), logit(r2)
-    return np.column_stack([np.ones(len(keys)), a, b, c, d, np.minimum(b, d), np.minimum(a, c), flags, flags[:, 7] * b, flags[:, 7] * d, flags[:, 10]])
+    return np.column_stack([np.ones(len(keys)), a, b, c, d, np.minimum(b, d), np.minimum(a, c), flags, flags[:, 7] * b, flags[:, 7] * d, flags[:, 10]]).astype(np.float32)
 
 
 class Chain:
@@ -264,19 +291,19 @@ class Chain:
             self.weights[[2, 4]] = 1.0
             return self
         n, longest = len(xs), max(map(len, xs))
-        x = np.zeros((n, longest, SIZE), np.float32)
+        x = np.zeros((n, longest, SIZE))
         y, there = np.full((n, longest), -1), np.zeros((n, longest), bool)
         for k, (a, b) in enumerate(zip(xs, ys)):
             x[k, : len(a)], y[k, : len(b)], there[k, : len(a)] = a, b, True
-        allowed = np.zeros((n, longest, 2))
+        flat, allowed = x.reshape(n * longest, SIZE), np.zeros((n, longest, 2))
         allowed[y == 0, 1] = allowed[y == 1, 0] = -50.0
         total = max(1, there.sum())
         state = [np.zeros(SIZE + 4), np.zeros(SIZE + 4)]
         for step in range(1, rounds + 1):
-            emit = np.stack([np.zeros((n, longest)), x @ self.weights], 2)
+            emit = np.stack([np.zeros((n, longest)), (flat @ self.weights).reshape(n, longest)], 2)
             p1, m1 = self._marginals(emit + allowed, there)
             p0, m0 = self._marginals(emit, there)
-            g = np.concatenate([np.einsum("nt,ntf->f", p1 - p0, x) / total - ridge * self.weights, ((m1 - m0) / total).ravel() - ridge * self.moves.ravel()])
+            g = np.concatenate([flat.T @ (p1 - p0).ravel() / total - ridge * self.weights, ((m1 - m0) / total).ravel() - ridge * self.moves.ravel()])
             state[0] = 0.9 * state[0] + 0.1 * g
             state[1] = 0.99 * state[1] + 0.01 * g * g
             move = rate * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
@@ -288,7 +315,10 @@ class Chain:
         n, longest, _ = emit.shape
         forward, backward = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
         forward[:, 0] = emit[:, 0]
-        add = lambda v: np.logaddexp(v[..., 0], v[..., 1])
+        def add(v):  # log of the sum of two exponentials
+            a, b = v[..., 0], v[..., 1]
+            return np.maximum(a, b) + np.log1p(np.exp(-np.abs(a - b)))
+
         for t in range(1, longest):
             new = np.stack([add(forward[:, t - 1] + self.moves[:, j]) for j in (0, 1)], 1) + emit[:, t]
             forward[:, t] = np.where(there[:, t, None], new, forward[:, t - 1])
@@ -298,28 +328,37 @@ class Chain:
             backward[:, t] = np.where(there[:, t + 1, None], new, 0)
         z = add(forward[:, -1])
         p = np.exp(forward[..., 1] + backward[..., 1] - z[:, None]) * there
-        moves = np.zeros((2, 2))
-        for t in range(1, longest):
-            ok = there[:, t]
-            for i in (0, 1):
-                for j in (0, 1):
-                    moves[i, j] += np.exp(forward[ok, t - 1, i] + self.moves[i, j] + emit[ok, t, j] + backward[ok, t, j] - z[ok]).sum()
-        return p, moves
-
-    def tags(self, scores: list[float]) -> list[bool]:
-        """The most probable tags (Viterbi)."""
-        (ii, ib), (bi, bb) = self.moves.tolist()
-        inside, boundary, back = 0.0, scores[0], []
-        for s in scores[1:]:
-            from_i, from_b = inside + ii >= boundary + bi, inside + ib >= boundary + bb
-            inside, boundary = (inside + ii if from_i else boundary + bi), (inside + ib if from_b else boundary + bb) + s
-            back.append((not from_i, not from_b))
-        tag = boundary > inside
-        out = [tag]
-        for b in reversed(back):
-            tag = b[1] if tag else b[0]
-            out.append(tag)
-        return out[::-1]
+        both = forward[:, :-1, :, None] + self.moves + (emit + backward)[:, 1:, None, :] - z[:, None, None, None]
+        return p, (np.exp(both) * there[:, 1:, None, None]).sum((0, 1))
+
+    def tags(self, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The most probable tags (Viterbi) of sequences that follow one another, all at once."""
+        return viterbi(scores, sizes, self.moves)
+
+
+def viterbi(scores: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """For sequences of ``sizes`` scores of the second tag, whether a place has it; longer sequences go first, so a step takes all that reach so far."""
+    order = np.argsort(-sizes, kind="stable")
+    order = order[: int((sizes > 0).sum())]
+    first = (np.cumsum(sizes) - sizes)[order]
+    lengths = sizes[order]
+    inside, boundary = np.zeros(len(order)), scores[first].astype(np.float64)
+    back = np.zeros((2, len(scores)), bool)
+    (ii, ib), (bi, bb) = moves
+    reach = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), side="right")  # sequences longer than t at t
+    for t in range(1, len(reach)):
+        m = reach[t]
+        at, a, b = first[:m] + t, inside[:m], boundary[:m]
+        to_i, to_b = b + bi > a + ii, b + bb > a + ib
+        back[0, at], back[1, at] = to_i, to_b
+        inside[:m], boundary[:m] = np.where(to_i, b + bi, a + ii), np.where(to_b, b + bb, a + ib) + scores[at]
+    out, tag = np.zeros(len(scores), bool), boundary > inside
+    for t in range(len(reach) - 1, -1, -1):
+        m = reach[t]
+        at = first[:m] + t
+        out[at] = tag[:m]
+        tag[:m] = back[tag[:m].astype(int), at]
+    return out
 
 
 def weak_labels(table: np.ndarray, general: np.ndarray, keys: np.ndarray, flags: np.ndarray) -> np.ndarray:
@@ -333,99 +372,284 @@ def weak_labels(table: np.ndarray, general: np.ndarray, keys: np.ndarray, flags:
     return y
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, str]]:
-    """``(doc, place, body)`` of the cells of a batch of documents."""
-    docs, texts, starts, sizes = (batch.column(k).to_pylist() for k in range(4))
-    for doc, text, at, size in zip(docs, texts, starts, sizes):
-        for a, n in zip(at, size):
-            if a is not None and n is not None and a >= 0 and n > 0:
-                yield doc, a, text[a : a + n]
-
-
-def _text_cells(df: DataFrame, key: str, text: str, cells: str, kind: Column | None) -> DataFrame:
-    chosen = F.filter(F.col(cells), lambda c: c["kind"] == (F.lit("text") if kind is None else kind))
-    rows = df.select(F.col(key).alias("doc"), F.col(text).alias("text"), chosen.alias("cells")).where("doc IS NOT NULL AND text IS NOT NULL AND size(cells) > 0")
-    return rows.select("doc", "text", F.col("cells.start_pos").alias("at"), F.col("cells.n_chars").alias("n"))
+def _script(text: str) -> int:
+    """1 for scripts without stops, 2 for dense ones, else by the first letter's block; Latin is 0."""
+    if _UNSTOPPED.search(text):
+        return 1
+    if _DENSE.search(text):
+        return 2
+    letter = next((c for c in text if c.isalpha()), "a")
+    return 16 + (ord(letter) >> 7) if ord(letter) > 0x24F else 0
+
+
+class Stretch(NamedTuple):
+    """At most ``WINDOW`` candidates of a paragraph that follow one another, to fit on."""
+
+    script: int
+    text: str  # from the end of the stretch before
+    found: list[Candidate]  # places count from there
+    tail: tuple[tuple[int, ...], int] | None  # keys and bits of the paragraph's last stop, if the stretch ends there
+    head: tuple[tuple[int, ...], int] | None  # of its first character, if it begins there
+
+
+def stretches(part: str, found: list[Candidate], opening: dict[int, int]) -> Iterator[Stretch]:
+    start, script = 0, _script(part)
+    for at in range(0, max(len(found), 1), WINDOW):
+        some, last = found[at : at + WINDOW], at + WINDOW >= len(found)
+        stop = len(part) if last else some[-1].next
+        tail = head = None
+        if last:
+            place, mark = _tail(part)
+            if mark or script == 1:
+                keys = context(part, place, len(part), mark)
+                tail = (keys[0], keys[1], keys[4]), _before(part, place, len(part), mark, opening)
+        if at == 0:
+            head = context(part, 0, 0, "")[2:4], _after(part[0])
+        text = part[start:stop] if stop - start <= WINDOW_CHARS else ""
+        yield Stretch(script, text, [Candidate(c.end - start, c.next - start, c.keys, c.bits) for c in some], tail, head)
+        start = stop
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, str, list[tuple[int, str]]]]:
+    """``(row, text, cells)`` of a batch of documents, a cell as its place and body."""
+    texts, starts, sizes = (batch.column(c).to_pylist() for c in ("text", "at", "n"))
+    for row, (text, at, size) in enumerate(zip(texts, starts, sizes)):
+        yield row, text, [(a, text[a : a + n]) for a, n in zip(at, size) if a is not None and n is not None and a >= 0 and n > 0]
+
+
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The one pass over texts: per document its units and their candidates as numbers.
+
+    ``units`` holds start, end and number of candidates of each; ``found`` end, next,
+    keys and bits of each candidate; ``edges`` the keys at the end and start of each
+    paragraph; ``plain`` the paragraphs without any stop; ``train`` stretches of sampled documents.
+    """
+    for batch in batches:
+        columns: list[list] = [[], [], [], [], []]
+        sampled = batch.column("sampled").to_pylist()
+        for row, _, cells in _texts(batch):
+            spans: list[int] = []
+            numbers: list[int] = []
+            edges: list[int] = []
+            plain, train = [], []
+            for at, body in cells:
+                for a, b, whole in units(body):
+                    part = body[a:b].rstrip()
+                    lead = len(part) - len(part.lstrip())
+                    if lead == len(part):
+                        continue
+                    part = part[lead:]
+                    start = at + a + lead
+                    if whole:
+                        spans += (start, start + len(part), 0)
+                        continue
+                    inside = _inside(part)
+                    found = _candidates(part, inside)
+                    for end, after, keys, bits in found:
+                        numbers += (start + end, start + after, *keys, bits)
+                    place, mark = _tail(part)
+                    keys = context(part, place, len(part), mark)
+                    edges += (keys[0], keys[1], keys[4], *context(part, 0, 0, "")[2:4])
+                    if not found and not _STOP.search(part) and not _UNSTOPPED.search(part):
+                        plain.append({"unit": len(spans) // 3, "text": part})
+                    spans += (start, start + len(part), len(found))
+                    if sampled[row]:
+                        train += map(pickle.dumps, stretches(part, found, inside[2]))
+            for column, values in zip(columns, (np.array(spans, np.int32).tobytes(), np.array(numbers, np.int32).tobytes(), np.array(edges, np.int32).tobytes(), plain, train)):
+                column.append(values)
+        kinds = (pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.struct([("unit", pa.int32()), ("text", pa.string())])), pa.list_(pa.binary()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc", "units", "found", "edges", "plain", "train"])
+
+
+def _numbers(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a column of ``_find`` holds, and how many rows each document has."""
+    values = np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, width)
+    return values, pc.binary_length(column).to_numpy(zero_copy_only=False) // (4 * width)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often contexts stand at candidates, and at paragraph ends and starts."""
     seen, edge = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    general = np.zeros((2, 2), np.int64)
-    documents = 0
+    general, plain = np.zeros((2, 2), np.int64), 0
     for batch in batches:
-        documents += len(batch)
-        inner: list[tuple[int, ...]] = []
-        lefts: list[tuple[int, ...]] = []
-        rights: list[tuple[int, ...]] = []
-        for _, _, body in _texts(batch):
-            for a, b, whole in units(body):
-                part = body[a:b].strip()
-                if whole or not part:
-                    continue
-                inner += [c.keys for c in candidates(part)]
-                at, mark = _tail(part)
-                keys = context(part, at, len(part), mark)
-                lefts.append((*keys[:2], keys[4]))
-                rights.append(context(part, 0, 0, "")[2:4])
-        for keys in (np.array(k, np.int64).reshape(-1) for k in (inner, lefts, rights)):
-            seen += np.bincount(keys, minlength=BUCKETS)
-        for keys in (np.array(k, np.int64).reshape(-1) for k in (lefts, rights)):
-            edge += np.bincount(keys, minlength=BUCKETS)
-        general += [[len(inner) + len(lefts), len(lefts)], [len(inner) + len(rights), len(rights)]]
+        inner, edges = _numbers(batch.column("found"), 8)[0][:, 2:7], _numbers(batch.column("edges"), 5)[0]
+        at_edge = np.bincount(edges.ravel(), minlength=BUCKETS)
+        seen += np.bincount(inner.ravel(), minlength=BUCKETS) + at_edge
+        edge += at_edge
+        general += [len(inner) + len(edges), len(edges)]
+        plain += int(pc.sum(pc.list_value_length(batch.column("plain"))).as_py() or 0)
     at = np.flatnonzero(seen)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.r_[at, [-1, -2, -3]]), pa.array(np.r_[seen[at], general[:, 0], documents]), pa.array(np.r_[edge[at], general[:, 1], 0])], ["bucket", "seen", "edge"]
+        [pa.array(np.r_[at, [-1, -2, -3]]), pa.array(np.r_[seen[at], general[:, 0], plain]), pa.array(np.r_[edge[at], general[:, 1], 0])], ["bucket", "seen", "edge"]
     )
 
 
-def train(table: np.ndarray, general: np.ndarray, paragraphs: list[str]) -> Chain:
-    """Fit the chain to paragraphs and to pairs of them joined without a paragraph break.
+def train(table: np.ndarray, general: np.ndarray, sample: list[Stretch]) -> Chain:
+    """Fit the chain to stretches of paragraphs and to pairs of them joined without a paragraph break.
 
     A join is a sure boundary; other candidates take their weak label. In scripts
     without stops the text is as if stripped of punctuation, so joins there teach the
     boundary at a bare blank.
     """
     xs, ys = [], []
-    by_script: dict[str, str] = {}
-    for text in paragraphs:
-        script = _script(text)
-        if before := by_script.get(script):
-            joined = before + (" " if script != "wide" else "") + text
-            place = len(before)
-        else:
-            joined, place = text, -1
-        by_script[script] = text
-        found = candidates(joined)[:12]
-        if not found:
+    before: dict[int, Stretch] = {}
+    for one in sample:
+        keys, bits, join = [c.keys for c in one.found], [c.bits for c in one.found], -1
+        if one.head and (other := before.get(one.script)):
+            (l1, l2, kind), left = other.tail
+            join = len(other.found)
+            keys = [*(c.keys for c in other.found), (l1, l2, *one.head[0], kind), *keys]
+            bits = [*(c.bits for c in other.found), left | one.head[1] | (TIGHT if one.script == 2 else 0), *bits]
+        if one.tail:
+            before[one.script] = one
+        if not keys:
             continue
-        keys, flags = np.array([c.keys for c in found]), np.array([c.flags for c in found])
-        y = weak_labels(table, general, keys, flags)
-        for k, c in enumerate(found):
-            if c.end == place:
-                y[k] = 1
-        xs.append(features(table, general, keys, flags))
+        flags = flags_of(np.array(bits))
+        y = weak_labels(table, general, np.array(keys), flags)
+        if join >= 0:
+            y[join] = 1
+        xs.append(features(table, general, np.array(keys), flags))
         ys.append(y)
     return Chain().fit(xs, ys)
 
 
-def _script(text: str) -> str:
-    if _UNSTOPPED.search(text):
-        return "unstopped"
-    if _DENSE.search(text):
-        return "wide"
-    letter = next((c for c in text if c.isalpha()), "a")
-    return str(ord(letter) >> 7) if ord(letter) > 0x24F else "latin"
+class Tagger:
+    """A linear-chain model of texts without stops, an averaged perceptron with Viterbi.
+
+    It tags every blank or, where no blanks part words, every character. It is fitted on
+    text stripped of its punctuation, whose sentences the other chain has parted.
+    """
+
+    def __init__(self, seed: int = 3, rounds: int = 6):
+        self.weights, self.moves = np.zeros(WEIGHTS, np.float32), np.zeros((2, 2))
+        self.scripts: set[int] = set()
+        self.seed, self.rounds = seed, rounds
+
+    def fit(self, sample: list[tuple[int, list[str]]]) -> Tagger:
+        """``sample`` holds scripts and sentences that follow one another."""
+        rows = []
+        for script, parts in sample:
+            text, ends = "", set()
+            for part in filter(None, map(stripped, parts)):
+                text += ("" if script == DENSE_SCRIPT else " ") * bool(text)
+                text += part
+                ends.add(len(text))
+            found = places(text)
+            if len(ends) > 1 and found:
+                self.scripts.add(script)
+                rows.append((np.array([keys for _, _, keys in found]), np.array([end in ends for end, _, _ in found])))
+        totals, moves, step, rng = np.zeros(WEIGHTS), np.zeros((2, 2)), 1, random.Random(self.seed)
+        weights, own = np.zeros(WEIGHTS), np.zeros((2, 2))
+        for _ in range(self.rounds):
+            rng.shuffle(rows)
+            for keys, y in rows:
+                got = viterbi(weights[keys].sum(1), np.array([len(y)]), own)
+                wrong = np.flatnonzero(got != y)
+                if len(wrong):
+                    sign = np.repeat(np.where(y[wrong], 1.0, -1.0), keys.shape[1])
+                    change = np.zeros((2, 2))
+                    np.add.at(change, (y[:-1].astype(int), y[1:].astype(int)), 1)
+                    np.add.at(change, (got[:-1].astype(int), got[1:].astype(int)), -1)
+                    np.add.at(weights, keys[wrong].ravel(), sign)
+                    np.add.at(totals, keys[wrong].ravel(), sign * step)
+                    own, moves = own + change, moves + change * step
+                step += 1
+        self.weights, self.moves = (weights - totals / step).astype(np.float32), own - moves / step
+        return self
+
+    def boundaries(self, text: str) -> list[tuple[int, int]]:
+        """``(end, next)`` of the sentences of a text but for its own end; none in a script that no text taught."""
+        if _plain_script(text) not in self.scripts:
+            return []
+        found = places(text)
+        if not found:
+            return []
+        tags = viterbi(self.weights[np.array([keys for _, _, keys in found])].sum(1), np.array([len(found)]), self.moves)
+        return [(end, after) for (end, after, _), tag in zip(found, tags) if tag]
+
+
+DENSE_SCRIPT = 2
+_WRITTEN_TOGETHER = re.compile(f"[{DENSE}\u0f00-\u0fff\u1780-\u17ff]")
+
+
+def _plain_script(text: str) -> int:
+    return DENSE_SCRIPT if _WRITTEN_TOGETHER.search(text) else _script(text)
+
+
+def stripped(text: str) -> str:
+    """Without punctuation, but for what stands within a word or number."""
+    out = []
+    for at, c in enumerate(text):
+        if unicodedata.category(c)[0] == "P" and not (c.isascii() and 0 < at < len(text) - 1 and text[at - 1].isalnum() and text[at + 1].isalnum() and text[at + 1].isascii()):
+            c = " "
+        out.append(c)
+    return " ".join("".join(out).split())
+
+
+@lru_cache(1 << 16)
+def _weight(kind: str, key: str) -> int:
+    return zlib.crc32(f"{kind}\x1f{key}".encode("utf-8", "surrogatepass")) % WEIGHTS
+
+
+def places(text: str) -> list[tuple[int, int, tuple[int, ...]]]:
+    """``(end, next, weights)`` of every place in a text without stops that may be a boundary."""
+    out, script = [], _plain_script(text)
+    if script == DENSE_SCRIPT:
+        for at in range(1, len(text)):
+            a, b = text[at - 1], text[at]
+            if a.isspace() or unicodedata.category(b)[0] == "M" or (a.isascii() and b.isascii() and a.isalnum() and b.isalnum()):
+                continue
+            after = at + len(text[at:]) - len(text[at:].lstrip()) if b.isspace() else at
+            left, right, gap = text[max(0, at - 4) : at], text[after : after + 4], "_" if after > at else ""
+            marks = [("l" + str(k) + gap, left[-k:]) for k in (1, 2, 3, 4)] + [("r" + str(k) + gap, right[:k]) for k in (1, 2, 3, 4)] + [("c", left[-1:] + right[:1]), ("d", left[-2:] + right[:2]), ("g", gap)]
+            out.append((at, after, tuple(_weight(*m) for m in marks)))
+        return out
+    words = list(re.finditer(r"\S+", text))
+    for k in range(1, len(words)):
+        left, right = words[k - 1].group(), words[k].group()
+        two = words[k - 2].group() if k > 1 else "^"
+        then = words[k + 1].group() if k + 1 < len(words) else "$"
+        marks = [
+            ("L1", _shape(left.lower())), ("L2", _shape(f"{two} {left}".lower())), ("R1", _shape(right.lower())), ("R2", _shape(f"{right} {then}".lower())),
+            ("C", _shape(f"{left} {right}".lower())), ("U", f"{script} {left[:1].isupper()} {right[:1].isupper()}"), ("E", left[-3:].lower()), ("B", f"{script}"),
+            ("X", f"{right.lower()} {right[:1].isupper()}"),
+        ]
+        out.append((words[k - 1].end(), words[k].start(), tuple(_weight(*m) for m in marks)))
+    return out
+
+
+def stripped_sample(table: np.ndarray, general: np.ndarray, chain: Chain, sample: list[Stretch], together: int = 3) -> list[tuple[int, list[str]]]:
+    """Scripts and sentences, a few stretches in a row, as the chain parts texts with stops."""
+    out: dict[int, list[list[str]]] = {}
+    for one in sample:
+        if not one.text or not _STOP.search(one.text):
+            continue
+        tags: list[bool] = []
+        if one.found:
+            scores = features(table, general, np.array([c.keys for c in one.found]), flags_of(np.array([c.bits for c in one.found]))) @ chain.weights
+            tags = chain.tags(scores, np.array([len(one.found)])).tolist()
+        parts, start = [], 0
+        for c, tag in zip(one.found, tags):
+            if tag:
+                parts.append(one.text[start : c.end])
+                start = c.next
+        out.setdefault(_plain_script(one.text), []).append([*parts, one.text[start:]])
+    return [(script, sum(rows[at : at + together], [])) for script, rows in out.items() for at in range(0, len(rows), together)]
 
 
 def sentences(spark: SparkSession, df: DataFrame, key: str, text: str, cells: str, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
     """``key, start_pos, end_pos``: every sentence of every cell of kind ``text``.
 
-    Two passes over all documents. The first counts, in a table of ``BUCKETS`` buckets,
-    which contexts end and begin paragraphs among all places where a stop or, in scripts
-    without stops, a blank might end a sentence. The chain's few weights are fitted on
-    paragraphs of at most ``sample`` documents. The second pass tags by Viterbi. No
-    text is shuffled; only counts are, of a fixed number of buckets.
+    One pass over the texts writes, as numbers, all places where a stop or, in scripts
+    without stops, a blank might end a sentence (see ``_find``). From these it is counted
+    over all documents, in a table of ``BUCKETS`` buckets, which contexts end and begin
+    paragraphs among all such places; the chain's few weights are fitted on about
+    ``sample`` documents; and places are tagged by Viterbi. No text is shuffled; only
+    counts are, of a fixed number of buckets.
+
+    A paragraph without any stop, in a script that has stops, is tagged character by
+    character, or blank by blank, by a chain fitted on the sample stripped of its
+    punctuation; in a script of which the sample holds no text with stops, it is one sentence.
 
     Positions count code points from 0, the end excluded. Headings and list items are
     one sentence, without their marks; blank lines end sentences. A null or empty text,
@@ -433,62 +657,55 @@ def sentences(spark: SparkSession, df: DataFrame, key: str, text: str, cells: st
     the text are cut to it; repeated documents give their rows again; further columns
     are not read.
     """
-    docs = _text_cells(df, key, text, cells, None)
-    kind = dict(docs.dtypes)["doc"]
-    counts = docs.mapInArrow(_count, "bucket long, seen long, edge long").groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("edge").alias("edge")).toArrow()  # BUCKETS + 3 rows at most
+    chosen = F.filter(F.col(cells), lambda c: c["kind"] == F.lit("text"))
+    share = int(min(1.0, sample / max(df.count(), 1)) * (1 << 20))
+    rows = df.select(F.col(key).alias("doc"), F.col(text).alias("text"), chosen.alias("cells")).where("doc IS NOT NULL AND text IS NOT NULL AND size(cells) > 0")
+    sampled = F.pmod(F.xxhash64("doc", F.lit(13)), F.lit(1 << 20)) < share
+    rows = rows.select("doc", "text", F.col("cells.start_pos").alias("at"), F.col("cells.n_chars").alias("n"), sampled.alias("sampled"))
+    kind = dict(rows.dtypes)["doc"]
+    found = materialise(spark, rows.mapInArrow(_find, f"doc {kind}, units binary, found binary, edges binary, plain array<struct<unit:int,text:string>>, train array<binary>"), "candidates")
+    counts = found.select("found", "edges", "plain").mapInArrow(_count, "bucket long, seen long, edge long").groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("edge").alias("edge")).toArrow()  # BUCKETS + 3 rows at most
     table_, general = np.zeros((BUCKETS, 2), np.float32), np.full(2, 0.3)
     at, seen, edge = (counts.column(c).to_numpy() for c in ("bucket", "seen", "edge"))
     table_[at[at >= 0], 0], table_[at[at >= 0], 1] = seen[at >= 0], edge[at >= 0]
     for side in (-1, -2):
         if (seen[at == side] > 0).any():
             general[-side - 1] = float(edge[at == side][0]) / float(seen[at == side][0])
-    n = int(seen[at == -3].sum())
-    some = docs.where(F.pmod(F.xxhash64("doc", F.lit(13)), F.lit(1 << 20)) < int(min(1.0, sample / max(n, 1)) * (1 << 20)))
-    first = some.mapInArrow(_paragraphs, "text string").orderBy(F.xxhash64("text")).limit(SAMPLE_PARAGRAPHS).toArrow().column(0).to_pylist()  # bounded
-    chain = train(table_, general, first)
-    model = spark.sparkContext.broadcast((table_, general, chain))
+    some = found.where("size(train) > 0").select(F.explode("train").alias("w")).orderBy(F.xxhash64("w"), "w").limit(SAMPLE_WINDOWS).toArrow()  # bounded
+    picked = [pickle.loads(w) for w in some.column(0).to_pylist()]
+    chain = train(table_, general, picked)
+    tagger = Tagger().fit(stripped_sample(table_, general, chain, picked)) if seen[at == -3].sum() else Tagger()
+    model = spark.sparkContext.broadcast((table_, general, chain, tagger))
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_, general, chain = model.value
+        table_, general, chain, tagger = model.value
         for batch in batches:
-            parts: list[tuple[object, int, int, int, list[Candidate]]] = []
-            keys: list[tuple[int, ...]] = []
-            flags: list[tuple[float, ...]] = []
-            for doc, at, body in _texts(batch):
-                for a, b, whole in units(body):
-                    part = body[a:b]
-                    lead = len(part) - len(part.lstrip())
-                    last = len(part.rstrip())
-                    if lead >= last:
-                        continue
-                    found = [] if whole else candidates(part[lead:last])
-                    keys += [c.keys for c in found]
-                    flags += [c.flags for c in found]
-                    parts.append((doc, at + a + lead, at + a + last, len(found), found))
-            scores = (features(table_, general, np.array(keys), np.array(flags)) @ chain.weights).tolist() if keys else []
-            ids, starts, ends, k = [], [], [], 0
-            for doc, start, end, n, found in parts:
-                base = start
-                if n:
-                    for c, boundary in zip(found, chain.tags(scores[k : k + n])):
-                        if boundary:
-                            ids.append(doc)
-                            starts.append(start)
-                            ends.append(base + c.end)
-                            start = base + c.next
-                    k += n
-                ids.append(doc)
-                starts.append(start)
-                ends.append(end)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["doc", "start_pos", "end_pos"])
-
-    return docs.mapInArrow(tag, f"doc {kind}, start_pos int, end_pos int").withColumnRenamed("doc", key)
-
-
-def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = [p for _, _, body in _texts(batch) for a, b, whole in units(body) if not whole and (p := body[a:b].strip())]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["text"])
+            spans, per_doc = _numbers(batch.column("units"), 3)
+            places_, _ = _numbers(batch.column("found"), 8)
+            bounds = np.zeros(0, np.int64)
+            unit = np.repeat(np.arange(len(spans)), spans[:, 2])
+            if len(places_):
+                scores = features(table_, general, places_[:, 2:7], flags_of(places_[:, 7])) @ chain.weights
+                bounds = np.flatnonzero(chain.tags(scores, spans[:, 2]))
+            of, end, after = unit[bounds], places_[bounds, 0], places_[bounds, 1]
+            extra = []
+            for first, plain in zip((np.cumsum(per_doc) - per_doc).tolist(), batch.column("plain").to_pylist()):
+                for p in plain or ():
+                    u = first + p["unit"]
+                    extra += [(u, spans[u, 0] + e, spans[u, 0] + n) for e, n in tagger.boundaries(p["text"])]
+            if extra:
+                more = np.array(extra)
+                of, end, after = np.r_[of, more[:, 0]], np.r_[end, more[:, 1]], np.r_[after, more[:, 2]]
+            # a unit's last sentence ends with it
+            of, end, after = np.r_[of, np.arange(len(spans))], np.r_[end, spans[:, 1]], np.r_[after, spans[:, 1]]
+            order = np.lexsort((end, of))
+            of, end, after = of[order], end[order], after[order]
+            new = np.r_[True, of[1:] != of[:-1]] if len(of) else np.zeros(0, bool)
+            start = np.where(new, spans[of, 0], np.r_[0, after[:-1]] if len(of) else after)
+            doc = np.repeat(np.arange(len(batch)), per_doc)[of]
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc", "start_pos", "end_pos"])
+
+    return found.select("doc", "units", "found", "plain").mapInArrow(tag, f"doc {kind}, start_pos int, end_pos int").withColumnRenamed("doc", key)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

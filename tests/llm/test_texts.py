@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from nearfield.llm import mixing
 from nearfield.llm.mixing import min_cost_flow, mixture
 from nearfield.llm.packing import best_fit, pack
-from nearfield.llm.sentences import candidates, sentences, units
+from nearfield.llm.sentences import candidates, sentences, units, viterbi
 from nearfield.llm.tokens import CHUNK, count, encoding, TOKENIZER, token_counts
 
 
@@ -262,3 +263,68 @@ def test_sentences_of_nothing(spark):
     assert sentences(spark, df.where("doc_id > 9000"), "doc_id", "text", "cells").count() == 0
     astral = df.limit(1).withColumn("text", F.lit("😀 Hello there. ")).withColumn("cells", F.expr("array(named_struct('cell_no', 1, 'kind', 'text', 'exec_count', 0, 'start_pos', 0, 'n_chars', 99))"))
     assert [tuple(r) for r in sentences(spark, astral, "doc_id", "text", "cells").collect()] == [(0, 0, 14)]
+
+
+# Words of made-up sentences: starts, middles and ends, and what joins words and ends and parts sentences.
+WORDS = {
+    "en": (["The filter", "Our model", "Each curve", "This table", "A new sensor"], ["keeps", "shows", "needs", "loses"], ["three rows", "the old values", "a second pass", "little noise", "its first column"], " ", ".", " "),
+    "zh": (["我们的模型", "这条曲线", "新的表格", "第一个滤波器"], ["保留", "需要", "显示", "改变"], ["三行数据", "旧的数值", "很少的噪声", "另一列"], "", "。", ""),
+    "ja": (["この表は", "新しいモデルは", "曲線は", "各フィルタは"], ["三行を", "古い値を", "雑音を", "列を"], ["残します", "示します", "変えます", "失います"], "", "。", ""),
+    "km": (["តារាងនេះ", "ម៉ូដែលថ្មី", "ខ្សែកោង", "តម្រង"], ["រក្សា", "បង្ហាញ", "ត្រូវការ"], ["បីជួរ", "តម្លៃចាស់", "សំឡេងតិច"], "", "។", " "),
+}
+
+
+def made_up(rng, lang):
+    first, then, last, blank, _, _ = WORDS[lang]
+    return blank.join([rng.choice(first), rng.choice(then), rng.choice(last)])
+
+
+def test_text_stripped_of_stops(spark):
+    """Most documents have stops; of those without, the boundaries are found all the same."""
+    rng = random.Random(11)
+    rows, truth = [], {lang: set() for lang in WORDS}
+    for doc in range(1200):
+        lang = rng.choice(list(WORDS))
+        _, _, _, _, stop, gap = WORDS[lang]
+        bare, text = doc % 10 == 0, ""
+        for k in range(rng.randint(2, 6)):
+            text += ("" if not text or (bare and lang in ("zh", "ja", "km")) else gap if not bare else " ")
+            start = len(text)
+            text += made_up(rng, lang) + ("" if bare else stop)
+            if bare:
+                truth[lang].add((doc, start, len(text)))
+        rows.append((doc, text, [(1, "text", None, 0, len(text))]))
+    df = spark.createDataFrame(rows, "doc_id long, text string, cells array<struct<cell_no int, kind string, exec_count int, start_pos int, n_chars int>>")
+    got = {(r["doc_id"], r["start_pos"], r["end_pos"]) for r in sentences(spark, df.repartition(3), "doc_id", "text", "cells").collect()}
+    for lang, true in truth.items():
+        docs = {d for d, _, _ in true}
+        found = {g for g in got if g[0] in docs}
+        f1 = 2 * len(found & true) / (len(found) + len(true))
+        assert f1 > 0.8, (lang, f1)
+
+
+def test_stops_of_khmer_and_tibetan():
+    assert len(candidates("តារាងនេះ។ ខ្សែកោង។ តម្រង។")) == 2
+    assert len(candidates("བཀྲ་ཤིས། བདེ་ལེགས།")) == 1
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.floats(-3, 3), max_size=6), max_size=8), st.lists(st.floats(-2, 2), min_size=4, max_size=4))
+def test_viterbi_of_many_sequences(rows, moves):
+    from itertools import product
+
+    moves = np.array(moves).reshape(2, 2)
+    got = viterbi(np.array([s for r in rows for s in r]), np.array([len(r) for r in rows], int), moves)
+    value = lambda r, tags: sum(s for s, t in zip(r, tags) if t) + sum(moves[int(a), int(b)] for a, b in zip(tags, tags[1:]))
+    at = 0
+    for r in rows:
+        best = max((value(r, tags) for tags in product([False, True], repeat=len(r))), default=0)
+        assert value(r, got[at : at + len(r)]) == pytest.approx(best)
+        at += len(r)
+
+
+def test_long_paragraph(spark):
+    text = "One is here. Two is there! " * 20_000
+    df = spark.createDataFrame([(1, text, [(1, "text", None, 0, len(text))])], "doc_id long, text string, cells array<struct<cell_no int, kind string, exec_count int, start_pos int, n_chars int>>")
+    rows = sorted((r["start_pos"], r["end_pos"]) for r in sentences(spark, df, "doc_id", "text", "cells").collect())
+    assert rows[0][0] == 0 and rows[-1][1] == len(text) - 1 and all(b[0] == a[1] + 1 for a, b in zip(rows, rows[1:]))
