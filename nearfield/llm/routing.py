@@ -103,8 +103,12 @@ class LearnedPartitions:
             w += np.linalg.solve((a * (p * (1 - p) + 1e-3)[:, None]).T @ a + penalty, a.T @ (right - p) - penalty @ w)
         return w
 
-    def route(self, vectors: np.ndarray, probes: int) -> np.ndarray:
-        """The ``probes`` most probable partitions of each vector, best first."""
+    def route(self, vectors: np.ndarray, probes: int, reach: float | None = None) -> np.ndarray:
+        """The ``probes`` most probable partitions of each vector, best first; with 1 the one every gate finds more probable.
+
+        With ``reach`` partitions that a gate keeps farther off than that are left out;
+        their places hold -1.
+        """
         n = len(vectors)
         beam, score = np.zeros((n, 1), np.int64), np.zeros((n, 1), np.float32)
         if not self.depth:
@@ -112,6 +116,9 @@ class LearnedPartitions:
         x = np.ones((n, self.gates.shape[1]), np.float32)
         x[:, :-1] = (np.asarray(vectors, np.float64) - self.center) / self.scale
         rows = np.arange(n)[:, None]
+        if reach is not None:  # of a gate's value, what it grows by in one step straight through
+            slope = np.linalg.norm(self.gates[:, :-1] / self.scale, axis=1)
+            far = np.where(slope > 0, slope, np.inf) * (1.01 * reach) + 1e-4
         for level in range(self.depth):
             first = 2**level - 1
             if 2**level <= 8 * beam.shape[1]:  # few gates: all at once
@@ -120,8 +127,13 @@ class LearnedPartitions:
                 z = np.einsum("nbd,nd->nb", self.gates[first + beam], x)
             soft = np.log1p(np.exp(-np.abs(z)))
             yes, no = score + np.minimum(z, 0) - soft, score - np.maximum(z, 0) - soft
+            if reach is not None:
+                bound = far[first + beam]
+                yes, no = np.where(z < -bound, -np.inf, yes), np.where(z > bound, -np.inf, no)
             beam, score = np.hstack([2 * beam, 2 * beam + 1]), np.hstack([no, yes])
             if beam.shape[1] > probes:
                 best = np.argpartition(-score, probes - 1, axis=1)[:, :probes]
                 beam, score = np.take_along_axis(beam, best, 1), np.take_along_axis(score, best, 1)
-        return np.take_along_axis(beam, np.argsort(-score, axis=1, kind="stable"), 1)
+        order = np.argsort(-score, axis=1, kind="stable")
+        beam = np.take_along_axis(beam, order, 1)
+        return beam if reach is None else np.where(np.isinf(np.take_along_axis(score, order, 1)), -1, beam)

@@ -25,9 +25,9 @@ PART_ROWS, PART_SAMPLE = 400, 16
 #: Levels fitted at once, and at all: beyond 4e8 distinct vectors partitions grow and are shared among tasks.
 LEVELS, MOST_LEVELS = 9, 20
 #: Partitions that travel together, so that a vector is sent once for all it probes of them; and the least number of such blocks' levels.
-BLOCK_LEVELS, LEAST_BLOCK_LEVELS = 6, 5
+BLOCK_LEVELS, LEAST_BLOCK_LEVELS = 7, 4
 #: Vectors, and half the queries, of a block that meet in one task; larger ones are cut into shares.
-TASK_ROWS = 20_000
+TASK_ROWS = 60_000
 QUERY_ROWS = 4_096
 BLOCK = 1 << 22
 #: Partitions probed unless stated: a tenth of all, between these.
@@ -118,10 +118,11 @@ def neighbours(
 ) -> DataFrame:
     """``a, b, d``: for each distinct vector its ``k`` nearest others among the partitions probed.
 
-    Every vector is stored in its most probable partition and sought in the ``probes``
-    most probable ones (see ``default_probes``); within these distances are exact, in double
-    precision, rounded to 6 decimals, ties to the smaller id. ``most`` leaves out what lies farther;
-    ``queries`` (a condition on ``groups``) limits what is sought, not what is found.
+    Every vector is stored in the partition that every gate finds more probable and
+    sought in the ``probes`` most probable ones (see ``default_probes``); within these
+    distances are exact, in double precision, rounded to 6 decimals, ties to the smaller
+    id. ``most`` leaves out what lies farther, and of the partitions probed those that
+    lie farther behind a gate; ``queries`` (a condition on ``groups``) limits what is sought, not what is found.
 
     Neighbouring partitions form blocks, and a vector is sent once to each block in which
     it has a place or probes; with it go the partitions it probes there. A block with
@@ -136,13 +137,17 @@ def neighbours(
 
     def places(v: pa.Array, sought: np.ndarray) -> tuple[np.ndarray, ...]:
         """``row, block, partition, own`` of what every vector is sent for, by row and block."""
-        parts = shared.value.route(matrix(v, dim, kind), probes)
-        keep = np.ones(parts.shape, bool)
-        keep[~sought, 1:] = False
-        row, rank = np.nonzero(keep)
+        x = matrix(v, dim, kind)
+        home = shared.value.route(x, 1)
+        parts = shared.value.route(x, probes, most)
+        lost = ~(parts == home).any(1)
+        parts[lost, -1] = home[lost, 0]
+        own = parts == home
+        row, rank = np.nonzero((parts >= 0) & (own | sought[:, None]))
         part = parts[row, rank]
         order = np.lexsort((part, row))
-        return row[order], part[order] >> low, part[order] & (2**low - 1), rank[order] == 0
+        row, part, own = row[order], part[order], own[row, rank][order]
+        return row, part >> low, part & (2**low - 1), own
 
     def heads(row: np.ndarray, block: np.ndarray) -> np.ndarray:
         return np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])]) if len(row) else np.zeros(0, np.int64)
