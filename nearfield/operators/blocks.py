@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,10 +48,10 @@ def top_of_block(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray
     return a, b, d
 
 
-def ranked(found: DataFrame, k: int) -> DataFrame:
-    """``qid, vec_id, rn, dist``: the k best candidates of each query."""
+def ranked(found: DataFrame, k: int, *keep: str) -> DataFrame:
+    """``qid, vec_id, rn, dist`` and ``keep``: the k best candidates of each query."""
     rn = F.row_number().over(Window.partitionBy("qid").orderBy("dist", "vec_id"))
-    return found.withColumn("rn", rn).where(F.col("rn") <= k).select("qid", "vec_id", "rn", "dist")
+    return found.withColumn("rn", rn).where(F.col("rn") <= k).select("qid", "vec_id", "rn", "dist", *keep)
 
 
 def scan(spark: SparkSession, queries: tuple[np.ndarray, np.ndarray], base: DataFrame, dim: int, k: int, metric: str) -> DataFrame:
@@ -73,6 +73,51 @@ def scan(spark: SparkSession, queries: tuple[np.ndarray, np.ndarray], base: Data
     return ranked(base.mapInArrow(search, SCHEMA), k)
 
 
+def few_rows(queries: DataFrame, dim: int, max_bytes: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ids and vectors of ``queries(qid, v)``, or none if they have more than ``max_bytes``."""
+    limit = (MAX_BROADCAST_BYTES if max_bytes is None else max_bytes) // (8 * max(dim, 1))
+    few = queries.select("qid", "v").limit(limit + 1).toArrow()
+    return (few.column("qid").to_numpy(), matrix(few.column("v"), dim, "f8")) if few.num_rows <= limit else None
+
+
+def by_value(values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The different values and, of each, the places where it stands."""
+    order = np.argsort(values, kind="stable")
+    found, starts = np.unique(values[order], return_index=True)
+    return found, np.split(order, starts[1:]) if len(found) else []
+
+
+def scan_cells(spark: SparkSession, probes: tuple[np.ndarray, np.ndarray], base: DataFrame, search: Callable, keep: int, schema: str) -> DataFrame:
+    """What ``search(queries, cell, rows)`` gives, for every batch of probed cells; each task keeps the ``keep`` best a query.
+
+    ``probes`` holds query places and cells. Only files of probed cells are read, since
+    ``base`` is parted by cell, and nothing of it is shuffled. ``search`` gives query
+    places and then columns, of which the first two, id and distance, rank.
+    """
+    places, cells = probes
+    listed, of_cell = by_value(cells)
+    wanted = spark.sparkContext.broadcast({int(c): places[at] for c, at in zip(listed, of_cell)})
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            found = [] if best is None else [best]
+            for cell, rows in zip(*by_value(batch.column("cell").to_numpy())):
+                if (asking := wanted.value.get(int(cell))) is not None:
+                    found.append(search(asking, int(cell), batch.take(pa.array(rows))))
+            if found:
+                columns = [np.concatenate(c) for c in zip(*found)]
+                order = np.lexsort((columns[1], columns[2], columns[0]))
+                query = columns[0][order]
+                order = order[np.arange(len(order)) - np.searchsorted(query, query) < keep]
+                best = tuple(c[order] for c in columns)
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], names)
+
+    return base.where(F.col("cell").isin([int(c) for c in listed])).mapInArrow(look, schema)
+
+
 def within_cells(spark: SparkSession, queries: DataFrame, base: DataFrame, dim: int, k: int, metric: str, task_rows: int = TASK_ROWS) -> DataFrame:
     """Each query of ``queries(cell, qid, v)`` against the vectors of its cells in ``base(cell, vec_id, v)``.
 
@@ -104,9 +149,8 @@ def nearest(spark: SparkSession, queries: DataFrame, base: DataFrame, dim: int,
     pairwise, so nothing that grows is broadcast.
     """
     metric, base = check_metric(metric), base.select("vec_id", "v")
-    limit = max_bytes // (8 * max(dim, 1))
-    few = queries.select("qid", "v").limit(limit + 1).toArrow()
-    if few.num_rows <= limit:
-        return scan(spark, (few.column("qid").to_numpy(), matrix(few.column("v"), dim, "f8")), base, dim, k, metric)
+    few = few_rows(queries, dim, max_bytes)
+    if few is not None:
+        return scan(spark, few, base, dim, k, metric)
     one = F.lit(0).alias("cell")
     return within_cells(spark, queries.select(one, "qid", "v"), base.select(one, "vec_id", "v"), dim, k, metric)

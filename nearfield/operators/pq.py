@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.arrays import dense, dimension, lists, usable
 from nearfield.functions.metrics import block_sq
-from nearfield.operators.blocks import MAX_BROADCAST_BYTES, SCHEMA, TASK_ROWS, ranked
-from nearfield.operators.kmeans import SEED_ROWS, plus_plus
+from nearfield.operators.blocks import CELLS, MAX_BROADCAST_BYTES, SCHEMA, TASK_ROWS, ranked
+from nearfield.operators.kmeans import LOCAL_BYTES, SEED_ROWS, add_up, nearest_center, plus_plus
 
 
 def subspace_bounds(dim: int, m: int) -> list[tuple[int, int]]:
@@ -24,7 +24,7 @@ def subspace_bounds(dim: int, m: int) -> list[tuple[int, int]]:
 
 
 class ProductQuantizer:
-    """``m`` codebooks of at most ``ksub`` entries, all fitted together, one pass an iteration.
+    """``m`` codebooks of at most ``ksub`` entries, all fitted together, one pass an iteration (over vectors in memory, if they are few).
 
     Seeds come from distinct subvectors of a bounded sample; ``init='first_k'`` takes
     those of the smallest ids. A codebook is no larger than its distinct subvectors.
@@ -51,14 +51,25 @@ class ProductQuantizer:
             distinct = x[np.sort(first), lo:hi]
             k = min(self.ksub, len(distinct))
             self.books.append(distinct[:k] if self.init == "first_k" else plus_plus(distinct, k, np.random.default_rng([self.seed, s])))
+        held = None
+        if 8 * self.dim * rows.count() <= LOCAL_BYTES:
+            held = np.concatenate([np.zeros((0, self.dim)), *(dense(c, self.dim) for c in rows.select("embedding").toArrow().column(0).chunks)])  # bounded
         for _ in range(self.max_iter):
-            new = self._step(spark, rows)
+            new = self._step(spark, rows) if held is None else self._averages(held)
             moved = max(np.abs(a - b).max() for a, b in zip(new, self.books))
             self.books = new
             if moved < 1e-9:
                 break
         return self
 
+    def _averages(self, x: np.ndarray) -> list[np.ndarray]:
+        books = [b.copy() for b in self.books]
+        for s, (lo, hi) in enumerate(self.bounds):
+            sums = add_up(x[:, lo:hi], self.books[s])
+            some = sums[:, -2] > 0
+            books[s][some] = sums[some, :-2] / sums[some, -2:-1]
+        return books
+
     def _step(self, spark: SparkSession, rows: DataFrame) -> list[np.ndarray]:
         shared, bounds, dim = spark.sparkContext.broadcast(self.books), self.bounds, self.dim
         widest = max(hi - lo for lo, hi in bounds)
@@ -70,7 +81,7 @@ class ProductQuantizer:
                 for s, (lo, hi) in enumerate(bounds):
                     code = closest(x[:, lo:hi], shared.value[s])
                     np.add.at(total[s][:, : hi - lo], code, x[:, lo:hi])
-                    np.add.at(total[s][:, -1], code, 1)
+                    total[s][:, -1] += np.bincount(code, minlength=len(total[s]))
             for s, t in enumerate(total):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), s, np.int32)), pa.array(np.arange(len(t), dtype=np.int32)), *(pa.array(t[:, j]) for j in range(widest + 1))], ["sub", "code", *(f"x{j}" for j in range(widest + 1))])
 
@@ -122,7 +133,7 @@ class ProductQuantizer:
         few = asked.limit(limit + 1).collect()
         if len(few) > limit:
             return self._adc_shares(spark, asked, codes, k)
-        tables = np.stack([self.table(np.array(r["qvec"], np.float64)) for r in few]) if few else np.zeros((0, self.m, self.ksub))
+        tables = self.tables(np.array([r["qvec"] for r in few], np.float64).reshape(-1, self.dim))
         shared, m = spark.sparkContext.broadcast((np.array([r["qid"] for r in few], np.int64), tables)), self.m
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,10 +141,8 @@ class ProductQuantizer:
             for batch in batches:
                 ids = batch.column(0).to_numpy()
                 c = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, m).astype(np.int64)
-                out = [best_codes(t, c, ids, k) for t in tables]
-                q = np.repeat(qids, [len(i) for i, _ in out])
-                i, d = (np.concatenate(x) if out else np.zeros(0) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0))
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(d)], ["qid", "vec_id", "dist"])
+                q, i, d = best_codes(tables, c, k, ids)
+                yield pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array(ids[i]), pa.array(d)], ["qid", "vec_id", "dist"])
 
         return ranked(codes.select("vec_id", "codes").mapInArrow(look, SCHEMA), k).withColumnRenamed("dist", "d2")
 
@@ -149,17 +158,17 @@ class ProductQuantizer:
                 return pa.table({"qid": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "dist": np.zeros(0)})
             pq, ids = model.value, c.column("vec_id").to_numpy()
             known = c.column("codes").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, pq.m).astype(np.int64)
-            out = [best_codes(pq.table(np.array(v)), known, ids, k) for v in q.column("qvec").to_pylist()]
-            return pa.table({"qid": np.repeat(q.column("qid").to_numpy(), [len(i) for i, _ in out]), "vec_id": np.concatenate([i for i, _ in out]), "dist": np.concatenate([d for _, d in out])})
+            at, i, d = best_codes(pq.tables(np.array(q.column("qvec").to_pylist(), np.float64)), known, k, ids)
+            return pa.table({"qid": q.column("qid").to_numpy()[at], "vec_id": ids[i], "dist": d})
 
         found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(look, SCHEMA)
         return ranked(found, k).withColumnRenamed("dist", "d2")
 
-    def table(self, q: np.ndarray) -> np.ndarray:
-        """Squared distances of a query's parts to all entries; what a shorter book lacks is infinite."""
-        out = np.full((self.m, self.ksub), np.inf)
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """Squared distances of the queries' parts to all entries; what a shorter book lacks is infinite."""
+        out = np.full((len(q), self.m, self.ksub), np.inf)
         for s, (lo, hi) in enumerate(self.bounds):
-            out[s, : len(self.books[s])] = ((self.books[s] - q[lo:hi]) ** 2).sum(1)
+            out[:, s, : len(self.books[s])] = block_sq(q[:, lo:hi], self.books[s])
         return out
 
     def memory_bytes(self, n: int) -> int:
@@ -168,19 +177,30 @@ class ProductQuantizer:
 
 
 def closest(x: np.ndarray, book: np.ndarray) -> np.ndarray:
-    d = block_sq(x, book)
-    return (d <= d.min(1, keepdims=True) + 1e-12).argmax(1)
+    return nearest_center(x, book)[0]
 
 
 def codes_of(x: np.ndarray, books: list[np.ndarray], bounds: list[tuple[int, int]]) -> np.ndarray:
     return np.column_stack([closest(x[:, lo:hi], b) for b, (lo, hi) in zip(books, bounds)])
 
 
-def best_codes(table: np.ndarray, codes: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and table distances of the k nearest codes, ties to the smaller id."""
-    d = table[np.arange(len(table)), codes].sum(1)
-    if 0 < k < len(d):
-        near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1] + 1e-12)
-        d, ids = d[near], ids[near]
-    order = np.lexsort((ids, d))[:k]
-    return ids[order], d[order]
+def best_codes(tables: np.ndarray, codes: np.ndarray, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries and codes and table distances: of every query the ``k`` nearest codes, ties to the smaller id."""
+    out, step = [], max(1, CELLS // max(1, len(codes)))
+    for at in range(0, len(tables) if len(codes) and k > 0 else 0, step):
+        some = tables[at : at + step]
+        d = some[:, 0, codes[:, 0]]
+        for s in range(1, codes.shape[1]):
+            d += some[:, s, codes[:, s]]
+        if k < len(codes):
+            i, j = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k] + 1e-12)
+        else:
+            i, j = np.divmod(np.arange(d.size), len(codes))
+        near = d[i, j]
+        order = np.lexsort((ids[j], near, i))
+        i, j, near = i[order], j[order], near[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append((at + i[keep], j[keep], near[keep]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(c) for c in zip(*out))

@@ -23,11 +23,11 @@ def _read_meta(spark: SparkSession, path: str, kind: str) -> dict:
 
 
 def save_ivf(spark: SparkSession, index: IVFIndex, path: str) -> None:
-    """Cells as partitions, so that reading a few cells prunes the rest."""
+    """Cells as partitions, as they were built: a search reads those it probes, and a large cell is written in shares."""
     index.built()
-    index.cells.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
-    centroids = [(c, v.tolist()) for c, v in enumerate(index.centroids)]
-    spark.createDataFrame(centroids, "cell int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+    index.cells.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
+    centroids = [(c, v.tolist(), int(n)) for c, (v, n) in enumerate(zip(index.centroids, index.counts))]
+    spark.createDataFrame(centroids, "cell int, centroid array<double>, n long").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
     _write_meta(spark, path, {"type": "ivf", "nlist": index.nlist, "metric": index.metric, "nprobe": index.nprobe, "n": index.n, "inertia": index.inertia, "kmeans_iters": index.kmeans_iters})
 
 
@@ -36,6 +36,7 @@ def load_ivf(spark: SparkSession, path: str) -> IVFIndex:
     index = IVFIndex(meta["nlist"], meta["metric"], meta["nprobe"])
     rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()  # one row a cell
     index.centroids = np.array([r["centroid"] for r in rows])
+    index.counts = np.array([r["n"] for r in rows])
     index.cells = spark.read.parquet(f"{path}/cells")
     index.n, index.inertia, index.kmeans_iters = meta["n"], meta["inertia"], meta["kmeans_iters"]
     return index

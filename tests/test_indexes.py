@@ -8,7 +8,7 @@ from nearfield.operators.evaluate import compare_kernels, markdown, mean_recall,
 from nearfield.operators.exact import as_queries, exact_knn, expression_knn, nearest_to
 from nearfield.operators.filters import allow, is_selective
 from nearfield.operators.hnsw import HNSWIndex
-from nearfield.operators.ivf import IVFIndex
+from nearfield.operators.ivf import IVFIndex, nearest_cells
 from nearfield.operators.ivfpq import IVFPQIndex
 from nearfield.operators.kmeans import KMeans
 from nearfield.operators.pq import ProductQuantizer
@@ -212,3 +212,71 @@ def test_datasets(spark):
     assert first == exact_sample(df.repartition(3), 4, "k", 3).select("k").collect() and len(first) == 4
     clouds = make_clustered(spark, 200, 4, 3, 1)
     assert clouds.count() == 200 and noisy_queries(clouds, 7).count() == 7 and repeated_queries(clouds, 30).count() == 30
+
+
+def rows_scanned(spark, df):
+    """Rows that leave the scans of vectors, after running ``df``."""
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    df.collect()
+    scans = [leaves.apply(i) for i in range(leaves.size())]
+    return sum(s.metrics().apply("numOutputRows").value() for s in scans if "Scan parquet" in s.nodeName())
+
+
+def test_only_probed_cells_are_read(spark, uniform, tmp_path):
+    one = uniform.where("vec_id = 7").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    index = IVFIndex(16).build(spark, uniform)
+    save_ivf(spark, index, str(tmp_path / "ivf"))
+    coded = IVFPQIndex(16, 4, 16).build(spark, uniform, keep_vectors=True)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for searched, cells in ((index, index.cells), (load_ivf(spark, str(tmp_path / "ivf")), index.cells), (coded, coded.codes)):
+            found = searched.search(spark, one, 5, 2)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
+            own = index if searched is not coded else coded.ivf
+            wanted = [int(c) for c in nearest_cells(np.array(one.first()["qvec"], float)[None], own.centroids, 2, "l2")[0]]
+            assert rows_scanned(spark, found) == cells.where(F.col("cell").isin(wanted)).count() < 800
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_many_queries_meet_cells_in_shares(spark, uniform, asked, monkeypatch):
+    from nearfield.operators import blocks, ivfpq
+
+    index = IVFIndex(8).build(spark, uniform)
+    coded = IVFPQIndex(8, 4, 16).build(spark, uniform, keep_vectors=True)
+    searches = [lambda: index.search(spark, asked, 5, 3), lambda: coded.search(spark, asked, 5, 3), lambda: coded.search(spark, asked, 5, 3, 40)]
+    few = [sorted(map(tuple, s().collect())) for s in searches]
+    monkeypatch.setattr(blocks, "MAX_BROADCAST_BYTES", 0)
+    monkeypatch.setattr(ivfpq, "TASK_ROWS", 20)
+    for s, want in zip(searches, few):
+        got = sorted(map(tuple, s().collect()))
+        assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want])
+
+
+def test_large_cells_are_written_in_shares(spark, uniform, monkeypatch):
+    from nearfield.operators import ivf
+
+    monkeypatch.setattr(ivf, "TASK_ROWS", 50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = IVFIndex(2).build(spark, uniform)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = index.cells.where("cell = 0").inputFiles()
+    assert index.cells.count() == 800 and len([f for f in files if "cell=0" in f]) > 1
+
+
+def test_passes_and_memory_agree(spark, blobs, monkeypatch):
+    from nearfield.operators import kmeans, pq
+
+    one = KMeans(6, 10, n_init=2, seed=1).fit(spark, blobs)
+    books = ProductQuantizer(2, 8, 5).fit(spark, blobs).books
+    monkeypatch.setattr(kmeans, "LOCAL_BYTES", 0)
+    monkeypatch.setattr(pq, "LOCAL_BYTES", 0)
+    two = KMeans(6, 10, n_init=2, seed=1).fit(spark, blobs)
+    assert np.allclose(one.centers, two.centers) and one.inertia == pytest.approx(two.inertia) and (one.counts == two.counts).all()
+    assert all(np.allclose(a, b) for a, b in zip(books, ProductQuantizer(2, 8, 5).fit(spark, blobs).books))
+    far = np.vstack([blobs.first()["embedding"]] * 2 + [np.full(8, 500.0)] * 2)
+    filled = KMeans(4, 3, n_init=1, init=far).fit(spark, blobs)
+    assert (filled.counts > 0).sum() >= 3
