@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib.util
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,3 +79,8 @@ def rowwise(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
         return np.where(norms > 0, 1 - (a * b).sum(1) / np.where(norms > 0, norms, 1), 1.0)
     d = ((a - b) ** 2).sum(1)
     return d if metric == "sqeuclidean" else np.sqrt(d)
+
+
+def blocks_available() -> bool:
+    """Whether compiled kernels run: numpy's products on Arrow batches; without them only column expressions do."""
+    return all(importlib.util.find_spec(name) is not None for name in ("numpy", "pyarrow"))

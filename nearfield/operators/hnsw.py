@@ -4,19 +4,26 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.functions.arrays import binary, dimension, matrix, packed
+from nearfield.functions.arrays import binary, dense, dimension, matrix, packed, usable
 from nearfield.functions.metrics import block, check_metric, rowwise
 from nearfield.operators.blocks import SCHEMA, nearest, ranked
 from nearfield.operators.filters import allow, is_selective
+from nearfield.operators.ivf import probe
+from nearfield.operators.kmeans import KMeans, nearest_center
+from nearfield.sources.tables import materialise
 
-#: Vectors a shard's graph is built of in one task.
-SHARD_ROWS = 50_000
+#: Vectors a shard's graph is built of in one task, and how many shards' cells a query asks.
+SHARD_ROWS, SHARD_PROBES = 10_000, 8
+SHARD_ITERATIONS = 10
+#: Queries that walk a shard's graph in one task, and tasks a shard has at most.
+CHUNK_QUERIES, MAX_CHUNKS = 500, 64
 
 
 class Graph:
@@ -111,50 +118,80 @@ class Graph:
         return self.beam(q, at, width, 0)
 
 
+class Packed:
+    """Links of a layer as one array, a node's from ``bounds[p]`` to ``bounds[p + 1]``."""
+
+    def __init__(self, lengths: np.ndarray, links: np.ndarray):
+        self.bounds, self.links = np.concatenate([[0], np.cumsum(lengths)]).tolist(), links
+
+    def get(self, p: int, _=()) -> list[int]:
+        return self.links[self.bounds[p] : self.bounds[p + 1]].tolist()
+
+
 class HNSWIndex:
-    """A graph per shard of at most ``shard_rows`` vectors; every shard answers, the best of all are kept.
+    """A graph per shard of about ``shard_rows`` vectors at most; the shards near a query answer, the best of all are kept.
 
-    Inserting is sequential, so shards, drawn by the id's hash, are what runs in
-    parallel; one shard is the plain algorithm. With ``allowed``, few allowed vectors are
+    Inserting is sequential, so shards are what runs in parallel; one shard is the plain
+    algorithm. More are cells of a k-means, a cell with too many vectors being cut by
+    the id's hash, so a query asks the ``shard_probes`` cells with the nearest middles
+    (all, if a beam is as wide as the whole index). With ``allowed``, few allowed vectors are
     searched exactly, otherwise the beam widens with their scarcity and drops the rest,
     so fewer than k may come out. Pruning may cut the last link to a vector, which then
     is not found.
     """
 
-    def __init__(self, m: int = 16, ef_construction: int = 200, ef_search: int = 50, metric: str = "l2", seed: int = 0, shard_rows: int = SHARD_ROWS):
+    def __init__(self, m: int = 16, ef_construction: int = 200, ef_search: int = 50, metric: str = "l2", seed: int = 0, shard_rows: int = SHARD_ROWS, shard_probes: int = SHARD_PROBES):
         self.m, self.ef_construction, self.ef_search = m, ef_construction, ef_search
-        self.metric, self.seed, self.shard_rows = check_metric(metric), seed, shard_rows
+        self.metric, self.seed, self.shard_rows, self.shard_probes = check_metric(metric), seed, shard_rows, shard_probes
         self.scale = 1 / math.log(m) if m > 1 else 1.0
         self.nodes: DataFrame | None = None
+        self.centers: np.ndarray | None = None
         self.dim = self.n = 0
 
     def build(self, spark: SparkSession, corpus: DataFrame) -> HNSWIndex:
-        """The graph as ``shard, vec_id, v, level, entry, links``: links by layer as lists of ids, written to the shared folder."""
-        from nearfield.sources.tables import materialise
+        """The graph as ``cell, shard, vec_id, v, level, entry, base, upper``, written to the shared folder by cell.
 
+        ``base`` holds a node's links in the lowest layer, ``upper`` those above, as
+        places among the shard's ids in their order.
+        """
         self.dim = dimension(corpus, "embedding")
-        rows = packed(corpus, self.dim, "embedding", "vec_id").dropDuplicates(["vec_id"])
+        rows = corpus.where(usable(F.col("embedding"), self.dim)).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").dropDuplicates(["vec_id"])
         self.n = rows.count()
-        shards = max(1, -(-self.n // self.shard_rows))
+        cells = max(1, -(-self.n // self.shard_rows))
+        if cells > 1:
+            rows = materialise(spark, rows, "vectors")
+            model = KMeans(cells, SHARD_ITERATIONS, 1e-4, 1, "k-means++", self.seed).fit(spark, rows, self.dim)
+            self.centers, counts = model.centers, model.counts
+        else:
+            self.centers, counts = np.zeros((1, self.dim)), np.array([self.n])
+        cut = spark.sparkContext.broadcast((self.centers, np.maximum(-(-counts // self.shard_rows), 1)))
         dim, m, width, metric, seed, scale = self.dim, self.m, self.ef_construction, self.metric, self.seed, self.scale
 
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centers, shares = cut.value
+            for batch in batches:
+                ids, x = batch.column(0).to_numpy(), dense(batch.column(1), dim)
+                cell = nearest_center(x, centers)[0]
+                spread = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array((spread.astype(np.int64) % shares[cell]).astype(np.int32)), batch.column(0), binary(x)], ["cell", "shard", "vec_id", "v"])
+
         def make(table: pa.Table) -> pa.Table:
             table = table.sort_by("vec_id")
             ids, x = table.column("vec_id").to_numpy(), matrix(table.column("v"), dim, "f8")
-            rng = np.random.default_rng([seed, int(table.column("shard")[0].as_py())])
+            rng = np.random.default_rng([seed, int(table.column("cell")[0].as_py()), int(table.column("shard")[0].as_py())])
             levels = np.floor(-np.log(np.maximum(rng.random(len(ids)), 1e-12)) * scale).astype(np.int64)
             g = Graph(x, metric).build(m, width, levels, rng.permutation(len(ids)))
-            links = [[ids[np.array(layer[p], np.int64)].tolist() for layer in g.layers[: levels[p] + 1]] for p in range(len(ids))]
+            links = [[np.array(layer[p], np.int32).tobytes() for layer in g.layers[: levels[p] + 1]] for p in range(len(ids))]
             return pa.table(
                 {
-                    "shard": table.column("shard"), "vec_id": table.column("vec_id"), "v": binary(x), "level": pa.array(levels.astype(np.int32)),
-                    "entry": pa.array(np.arange(len(ids)) == g.entry), "links": pa.array(links, pa.list_(pa.list_(pa.int64()))),
+                    "cell": table.column("cell"), "shard": table.column("shard"), "vec_id": table.column("vec_id"), "v": binary(x), "level": pa.array(levels.astype(np.int32)),
+                    "entry": pa.array(np.arange(len(ids)) == g.entry), "base": pa.array([t[0] for t in links], pa.binary()), "upper": pa.array([t[1:] for t in links], pa.list_(pa.binary())),
                 }
             )
 
-        cut = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-        built = cut.select("shard", "vec_id", "v").groupBy("shard").applyInArrow(make, "shard int, vec_id long, v binary, level int, entry boolean, links array<array<long>>")
-        self.nodes = materialise(spark, built, "graph")
+        placed = rows.mapInArrow(place, "cell int, shard int, vec_id long, v binary")
+        built = placed.groupBy("cell", "shard").applyInArrow(make, "cell int, shard int, vec_id long, v binary, level int, entry boolean, base binary, upper array<binary>")
+        self.nodes = materialise(spark, built, "graph", "cell")
         return self
 
     def built(self) -> None:
@@ -164,7 +201,7 @@ class HNSWIndex:
     def search(self, spark: SparkSession, queries: DataFrame, k: int = 10, ef: int | None = None, allowed: Column | DataFrame | None = None) -> DataFrame:
         """``qid, vec_id, rn, dist`` for ``queries(qid, qvec)``. A condition in ``allowed`` may use ``vec_id``."""
         self.built()
-        asked = packed(queries, self.dim, "qvec", "qid")
+        asked = packed(queries, self.dim, "qvec", "qid").select(F.col("qid").cast("long").alias("qid"), "v")
         width, nodes = max(ef or self.ef_search, k), self.nodes.withColumn("ok", F.lit(True))
         if allowed is not None:
             base = allow(self.nodes.select("vec_id", "v"), allowed)
@@ -173,10 +210,14 @@ class HNSWIndex:
                 return nearest(spark, asked, base, self.dim, k, self.metric)
             width = min(int(max(width, k / max(n_allowed / self.n, 1e-9))), self.n)
             nodes = self.nodes.join(base.select("vec_id", F.lit(True).alias("ok")), "vec_id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
-        every = self.nodes.select((F.col("shard") + 0).alias("shard")).distinct()
-        chunk = F.pmod(F.xxhash64("qid"), F.lit(8)).cast("int")
-        left = asked.join(F.broadcast(every)).select("shard", chunk.alias("chunk"), "qid", "v")  # shards are n / shard_rows
-        right = nodes.select("shard", F.explode(F.array(*map(F.lit, range(8)))).alias("chunk"), "vec_id", "v", "entry", "links", "ok")
+        probes = len(self.centers) if width >= self.n else max(1, min(self.shard_probes, len(self.centers)))
+        asked = materialise(spark, probe(spark, asked, self.centers, probes, self.metric).select("cell", "qid", "v"), "asked")
+        cells = asked.groupBy("cell").count().collect()  # at most all cells
+        chunks = min(MAX_CHUNKS, max(1, -(-max((r["count"] for r in cells), default=0) // CHUNK_QUERIES)))
+        left = asked.withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int"))
+        shards = self.nodes.select((F.col("cell") + 0).alias("cell"), (F.col("shard") + 0).alias("shard")).distinct()
+        left = left.join(F.broadcast(shards), "cell")  # n / shard_rows
+        right = nodes.where(F.col("cell").isin([r["cell"] for r in cells])).withColumn("chunk", F.explode(F.array(*map(F.lit, range(chunks)))))
         dim, metric = self.dim, self.metric
 
         def walk(q: pa.Table, n: pa.Table) -> pa.Table:
@@ -184,12 +225,13 @@ class HNSWIndex:
                 return pa.table({"qid": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "dist": np.zeros(0)})
             n = n.sort_by("vec_id")
             ids, x, ok = n.column("vec_id").to_numpy(), matrix(n.column("v"), dim, "f8"), n.column("ok").to_numpy()
-            layers: list[dict[int, list[int]]] = []
-            for p, links in enumerate(n.column("links").to_pylist()):
-                while len(layers) < len(links):
-                    layers.append({})
-                for layer, to in enumerate(links):
-                    layers[layer][p] = np.searchsorted(ids, np.array(to, np.int64)).tolist()
+            base = n.column("base").to_pylist()
+            layers: list = [Packed(np.array([len(t) // 4 for t in base]), np.frombuffer(b"".join(base), np.int32))]
+            for p in np.flatnonzero(n.column("level").to_numpy()).tolist():
+                for layer, links in enumerate(n.column("upper")[p].as_py(), 1):
+                    while len(layers) <= layer:
+                        layers.append({})
+                    layers[layer][p] = np.frombuffer(links, np.int32).tolist()
             g = Graph(x, metric, layers, int(n.column("entry").to_numpy().argmax()))
             out = []
             for qid, vector in zip(q.column("qid").to_pylist(), matrix(q.column("v"), dim, "f8")):
@@ -199,24 +241,20 @@ class HNSWIndex:
                 out.append((np.full(len(order), qid), ids[found[order]], d[order]))
             return pa.table(dict(zip(("qid", "vec_id", "dist"), map(np.concatenate, zip(*out)))))
 
-        found = left.groupBy("shard", "chunk").cogroup(right.groupBy("shard", "chunk")).applyInArrow(walk, SCHEMA)
-        return ranked(found, k)
+        by = ["cell", "shard", "chunk"]
+        return ranked(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(walk, SCHEMA), k)
 
     def stats(self) -> DataFrame:
         """One row: ``n, levels, avg_degree, max_degree`` (of the lowest layer)."""
         self.built()
-        degree = F.size(F.col("links")[0])
+        degree = (F.length("base") / 4).cast("int")
         return self.nodes.agg(F.count("*").alias("n"), (F.max("level") + 1).alias("levels"), F.avg(degree).alias("avg_degree"), F.max(degree).alias("max_degree"))
 
-    def memory_bytes(self) -> int:
-        """Vectors in single precision, 8 bytes a link and 56 a node."""
-        links = self.nodes.agg(F.sum(F.aggregate("links", F.lit(0), lambda s, x: s + F.size(x)))).first()[0] or 0
-        return 4 * self.n * self.dim + 8 * links + 56 * self.n
-
-
-def levels_column(m: int, seed: int) -> Column:
-    """A level drawn per row: floor(-ln(U) / ln m)."""
-    scale = 1 / math.log(m) if m > 1 else 1.0
-    return F.floor(-F.log(F.greatest(F.rand(seed), F.lit(1e-12))) * scale).cast("int")
-
+    def shape(self) -> dict[str, float]:
+        return self.stats().first().asDict()
 
+    def memory_bytes(self) -> int:
+        """Vectors in single precision, 8 bytes a link and 56 a node of every layer."""
+        links = F.length("base") + F.aggregate("upper", F.lit(0), lambda s, x: s + F.length(x))
+        total = self.nodes.agg(F.sum(links / 4).alias("links"), F.sum(F.col("level") + 1).alias("nodes")).first()
+        return int(4 * self.n * self.dim + 8 * (total["links"] or 0) + 56 * (total["nodes"] or 0))

@@ -55,7 +55,3 @@ class Normalizer:
     def transform_vector(self, vector: Column) -> Column:
         steps = F.arrays_zip(vector.alias("x"), F.array(*map(F.lit, self.center)).alias("c"), F.array(*map(F.lit, self.scale)).alias("s"))
         return F.transform(steps, lambda t: (t["x"] - t["c"]) / t["s"])
-
-    def inverse_vector(self, vector: Column) -> Column:
-        steps = F.arrays_zip(vector.alias("x"), F.array(*map(F.lit, self.center)).alias("c"), F.array(*map(F.lit, self.scale)).alias("s"))
-        return F.transform(steps, lambda t: t["x"] * t["s"] + t["c"])

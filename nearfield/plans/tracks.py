@@ -18,6 +18,7 @@ from nearfield.sources.tables import table
 TEXTS = [
     "chill", "energetic", "sad", "happy", "workout", "study focus", "high energy gym workout", "music for a rainy day",
     "zzxqq nonsense tokens", "happy sad", "energetic party", "chill rainy day coding music", "Chilled OUT, laid back!", "",
+    "calm relaxing", "intense upbeat", "upbeat dance", "mellow romantic", "live",
 ]
 COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 GENRES = ["lumen step", "velour folk"]
@@ -146,17 +147,18 @@ def _quoted(text: str) -> str:
 
 _VALUES = ", ".join(f"({i}, {_quoted(t)})" for i, t in enumerate(TEXTS))
 _TERMS = ", ".join(f"('{t}', '{f}', {v}, {w})" for t, f, v, w in mood.lexicon())
-_ALIASES = ", ".join(f"('{p}', '{t}')" for p, t in mood.ALIASES.items())
+_ALIASES = ", ".join(f"('{p}', '{t}', {k})" for k, (p, t) in enumerate(mood.ALIASES.items()))
 _NEUTRAL = ", ".join(f"('{f}', {v}, {k})" for k, (f, v) in enumerate(mood.NEUTRAL.items()))
 _MOOD = f"""WITH texts(qid, text) AS (VALUES {_VALUES}),
 lexicon(term, feature, target, weight) AS (VALUES {_TERMS}),
-aliases(phrase, term) AS (VALUES {_ALIASES}),
+aliases(phrase, term, nth) AS (VALUES {_ALIASES}),
 neutral(feature, value, pos) AS (VALUES {_NEUTRAL}),
+words AS (SELECT qid, unnest(w) AS word, generate_subscripts(w, 1) AS nth FROM (SELECT qid, regexp_extract_all(lower(text), '[a-z]+') AS w FROM texts)),
 fired AS (
-  SELECT qid, term FROM texts JOIN aliases ON contains(lower(text), phrase)
+  SELECT qid, term, phrase AS written, nth - 1000 AS place FROM texts JOIN aliases ON contains(lower(text), phrase)
   UNION ALL
-  SELECT qid, word AS term FROM (SELECT qid, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM texts) WHERE word IN (SELECT term FROM lexicon)),
-asked AS (SELECT qid, feature, sum(CAST(target AS DOUBLE) * weight) / sum(CAST(weight AS DOUBLE)) AS value FROM fired JOIN lexicon USING (term) GROUP BY qid, feature),
+  SELECT qid, word AS term, word AS written, nth AS place FROM words WHERE word IN (SELECT term FROM lexicon)),
+asked AS (SELECT qid, feature, sum(CAST(target AS DOUBLE) * CAST(weight AS DOUBLE) ORDER BY place) / sum(CAST(weight AS DOUBLE) ORDER BY place) AS value FROM fired JOIN lexicon USING (term) GROUP BY qid, feature),
 targets AS (SELECT t.qid, n.feature, n.pos, coalesce(a.value, CAST(n.value AS DOUBLE)) AS value FROM texts t CROSS JOIN neutral n LEFT JOIN asked a ON a.qid = t.qid AND a.feature = n.feature)
 """
 _FULL = " AND ".join(f"{f} IS NOT NULL" for f in mood.FEATURES)
@@ -203,6 +205,12 @@ SQL = {
     "filtered_tracks": f"SELECT row_id, track_genre, popularity FROM spotify_tracks WHERE track_genre IN ({_IN}) AND popularity >= 40",
     "mood_tokens": _MOOD + "SELECT CAST(qid AS BIGINT) AS qid, term, count(*) AS n FROM fired GROUP BY qid, term",
     "mood_targets": _MOOD + "SELECT CAST(qid AS BIGINT) AS qid, feature, round(value, 6) AS value FROM targets",
+    "mood_explanations": _MOOD
+    + f""", bits AS (SELECT qid, string_agg(CASE feature WHEN 'tempo' THEN 'tempo≈' || format('{{:.0f}}', value) || ' BPM' ELSE feature || '≈' || format('{{:.2f}}', value) END, ', ' ORDER BY list_position({mood.EXPLAINED}, feature)) AS targets
+  FROM asked WHERE list_contains({mood.EXPLAINED}, feature) GROUP BY qid),
+named AS (SELECT qid, string_agg('''' || written || '''', ', ' ORDER BY place) AS terms FROM (SELECT qid, written, min(place) AS place FROM fired GROUP BY qid, written) GROUP BY qid)
+SELECT CAST(t.qid AS BIGINT) AS qid, t.text, CASE WHEN terms IS NULL THEN {_quoted(mood.UNMATCHED_TEXT)} ELSE 'Matched ' || terms || ' → target ' || coalesce(targets, '') || '.' END AS explanation
+FROM texts t LEFT JOIN named n ON n.qid = t.qid LEFT JOIN bits b ON b.qid = t.qid""",
     "moods": _MOOD + "SELECT DISTINCT term FROM lexicon",
     "mood_search": f"{_MOOD}, {_TRACKS}, {_ASKED}, {_found()} " + _SHOWN.replace("SELECT qid", "SELECT CAST(qid AS BIGINT) AS qid"),
     "mood_search_genre": f"{_MOOD}, {_TRACKS}, {_ASKED}, {_found(f'track_genre IN ({_IN}) AND popularity >= 40')} " + _SHOWN.replace("SELECT qid", "SELECT CAST(qid AS BIGINT) AS qid"),

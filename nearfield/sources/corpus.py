@@ -13,6 +13,7 @@ from nearfield.functions.mood import FEATURES
 from nearfield.operators.normalize import Normalizer
 from nearfield.sources.tables import materialise
 
+# The columns kept beside the features.
 METADATA = ["track_id", "track_name", "artists", "album_name", "track_genre", "popularity"]
 SCHEMA = T.StructType(
     [*(T.StructField(c, T.StringType()) for c in METADATA[:-1]), T.StructField("popularity", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in FEATURES)]
@@ -80,13 +81,38 @@ def to_dataset(df: DataFrame, key: str, columns: list[str] = FEATURES, method: s
     return Dataset(rows.select(F.col(key).alias("vec_id"), normalizer.vector().alias("embedding"), raw.alias("raw"), *kept), columns, normalizer)
 
 
-def load_csv(spark: SparkSession, path: str, **options) -> Dataset:
-    """Tracks from CSV with a header; ids number the rows in file order."""
+def numbered(df: DataFrame, out: str, *order: str) -> DataFrame:
+    """``df`` with its rows numbered from 0 by ``order``: sorted in parts, whose numbers start where the parts before end."""
+    spark = df.sparkSession
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_n", F.monotonically_increasing_id())
+    rows = materialise(spark, parts.withColumn("_part", F.shiftright("_n", 33)).withColumn("_n", F.col("_n").bitwiseAND((1 << 33) - 1)), "numbered")
+    starts, total = [], 0
+    for part, n in sorted(rows.groupBy("_part").count().collect()):  # one row a part
+        starts.append((part, total))
+        total += n
+    starts = F.broadcast(spark.createDataFrame(starts, "_part long, _start long"))
+    return rows.join(starts, "_part").withColumn(out, F.col("_start") + F.col("_n")).drop("_part", "_start", "_n")
+
+
+def load_csv(spark: SparkSession, path: str, limit: int | None = None, dropna: bool = True, sample_seed: int | None = None, **options) -> Dataset:
+    """Tracks from CSV with a header; ids number the rows that are kept from 0, in file order.
+
+    Rows of several files follow in the order of the files' names. Which rows are kept
+    is decided before they are numbered (see ``to_dataset``).
+    """
     names = spark.read.option("header", True).csv(path).columns
     known = {f.name: f.dataType for f in SCHEMA}
     schema = T.StructType([T.StructField(n, known.get(n, T.StringType())) for n in names])
     rows = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
-    return to_dataset(rows.withColumn("vec_id", F.monotonically_increasing_id()), "vec_id", **options)
+    rows = rows.withColumn("_file", F.input_file_name()).withColumn("_row", F.monotonically_increasing_id())  # a file is read by one task
+    if dropna:
+        rows = drop_missing(rows, [f for f in FEATURES if f in names])
+    rows = numbered(rows, "vec_id", "_file", "_row").drop("_file", "_row")
+    if limit is not None:
+        rows = exact_sample(rows, limit, "vec_id", sample_seed) if sample_seed is not None else head(rows, limit, "vec_id")
+        if sample_seed is not None:
+            rows = numbered(rows.withColumnRenamed("vec_id", "_row"), "vec_id", "_row").drop("_row")
+    return to_dataset(rows, "vec_id", dropna=False, **options)
 
 
 def from_matrix(spark: SparkSession, values: np.ndarray, method: str = "zscore") -> Dataset:
@@ -113,15 +139,10 @@ def corpus_queries(corpus: DataFrame, n: int, seed: int = 0) -> DataFrame:
 def repeated_queries(corpus: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` queries from the rows of the corpus, which may occur again."""
     spark = corpus.sparkSession
-    rows = materialise(spark, corpus.select("vec_id", "embedding", F.monotonically_increasing_id().alias("_n")), "numbered")
-    rows = rows.select("embedding", F.shiftright("_n", 33).alias("part"), F.col("_n").bitwiseAND((1 << 33) - 1).alias("place"))
-    starts, total = [], 0
-    for part, count in sorted(rows.groupBy("part").count().collect()):  # one row a partition
-        starts.append((part, total))
-        total += count
-    numbered = rows.join(F.broadcast(spark.createDataFrame(starts, "part long, start long")), "part").withColumn("_n", F.col("start") + F.col("place"))
-    drawn = materialise(spark, spark.range(n).select(F.col("id").alias("qid"), F.floor(F.rand(seed) * total).cast("long").alias("_n")), "drawn")
-    return drawn.join(numbered, "_n").select("qid", F.col("embedding").alias("qvec"))
+    rows = materialise(spark, numbered(corpus.select("vec_id", "embedding"), "_place", "vec_id"), "places")
+    total = rows.count()
+    drawn = materialise(spark, spark.range(n).select(F.col("id").alias("qid"), F.floor(F.rand(seed) * total).cast("long").alias("_place")), "drawn")
+    return drawn.join(rows, "_place").select("qid", F.col("embedding").alias("qvec"))
 
 
 def noisy_queries(corpus: DataFrame, n: int, noise: float = 0.5, seed: int = 0) -> DataFrame:

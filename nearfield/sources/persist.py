@@ -44,12 +44,15 @@ def load_ivf(spark: SparkSession, path: str) -> IVFIndex:
 
 def save_hnsw(spark: SparkSession, index: HNSWIndex, path: str) -> None:
     index.built()
-    index.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    _write_meta(spark, path, {"type": "hnsw", "m": index.m, "ef_construction": index.ef_construction, "ef_search": index.ef_search, "metric": index.metric, "n": index.n, "dim": index.dim})
+    index.nodes.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/nodes")
+    centers = [(c, v.tolist()) for c, v in enumerate(index.centers)]
+    spark.createDataFrame(centers, "cell int, center array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centers")
+    _write_meta(spark, path, {"type": "hnsw", "m": index.m, "ef_construction": index.ef_construction, "ef_search": index.ef_search, "metric": index.metric, "shard_probes": index.shard_probes, "n": index.n, "dim": index.dim})
 
 
 def load_hnsw(spark: SparkSession, path: str) -> HNSWIndex:
     meta = _read_meta(spark, path, "hnsw")
-    index = HNSWIndex(meta["m"], meta["ef_construction"], meta["ef_search"], meta["metric"])
+    index = HNSWIndex(meta["m"], meta["ef_construction"], meta["ef_search"], meta["metric"], shard_probes=meta["shard_probes"])
     index.nodes, index.n, index.dim = spark.read.parquet(f"{path}/nodes"), meta["n"], meta["dim"]
+    index.centers = np.array([r["center"] for r in spark.read.parquet(f"{path}/centers").orderBy("cell").collect()])  # one row a cell
     return index
