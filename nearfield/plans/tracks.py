@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +12,8 @@ from nearfield.operators.exact import exact_knn
 from nearfield.operators.filters import by_genre, by_popularity, genres
 from nearfield.operators.mood import available_moods, matched_terms, query_vectors, translate
 from nearfield.operators.normalize import Normalizer
-from nearfield.sources.corpus import drop_missing, exact_sample, head, to_dataset
-from nearfield.sources.tables import table
+from nearfield.sources.corpus import METADATA, drop_missing, exact_sample, from_matrix, head, load_csv, to_dataset
+from nearfield.sources.tables import new_path, table
 
 # Texts about moods.
 TEXTS = [
@@ -23,6 +24,7 @@ TEXTS = [
 COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 GENRES = ["lumen step", "velour folk"]
 SAMPLE, SEED, K = 100, 7, 10
+MATRIX = [[1.0, 5.0, -2.0], [2.0, 5.0, 0.5], [4.0, 5.0, 8.0], [9.0, 5.0, 1.25]]
 
 
 def _texts(spark: SparkSession) -> DataFrame:
@@ -71,6 +73,21 @@ def dataset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("vec_id").alias("row_id"), "track_id", "popularity", *(F.round(d["embedding"][k].cast("double"), 4).alias(f) for k, f in enumerate(mood.FEATURES)))
 
 
+def csv_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tracks written as CSV and loaded again: rows with all features, numbered in file order."""
+    path = new_path(spark, "csv")
+    rows = table(spark, sf_dir, "spotify_tracks").select("row_id", *METADATA, *mood.FEATURES)
+    rows.orderBy("row_id").coalesce(1).drop("row_id").write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    d = load_csv(spark, path).df
+    return d.select("vec_id", "track_id", "track_genre", "popularity", *(F.round(d["embedding"][k].cast("double"), 4).alias(f) for k, f in enumerate(mood.FEATURES)))
+
+
+def matrix_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matrix with a constant column as a dataset."""
+    d = from_matrix(spark, np.array(MATRIX)).df
+    return d.select("vec_id", *(F.round(d["embedding"][k].cast("double"), 5).alias(f"f{k}") for k in range(3)))
+
+
 def genre_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genres(table(spark, sf_dir, "spotify_tracks"))
 
@@ -129,6 +146,8 @@ QUERIES = {
     "sample_exact_n": sample_exact_n,
     "head_limit": head_limit,
     "dataset_rows": dataset_rows,
+    "csv_tracks": csv_tracks,
+    "matrix_dataset": matrix_dataset,
     "genre_list": genre_list,
     "filtered_tracks": filtered_tracks,
     "mood_tokens": mood_tokens,
@@ -201,6 +220,12 @@ SQL = {
     "sample_exact_n": f"SELECT row_id, track_id FROM spotify_tracks ORDER BY md5(CAST(row_id AS VARCHAR) || chr(31) || '{SEED}'), row_id LIMIT {SAMPLE}",
     "head_limit": f"SELECT row_id, track_id FROM spotify_tracks ORDER BY row_id LIMIT {SAMPLE}",
     "dataset_rows": f"WITH {_TRACKS} SELECT row_id, track_id, popularity, {', '.join(f'round(v[{k + 1}], 4) + 0.0 AS {f}' for k, f in enumerate(mood.FEATURES))} FROM corpus",
+    "csv_tracks": f"""WITH {_TRACKS}, kept AS (SELECT c.row_id, t.track_id, t.track_genre, t.popularity, v FROM corpus c JOIN spotify_tracks t USING (row_id))
+SELECT row_number() OVER (ORDER BY row_id) - 1 AS vec_id, track_id, track_genre, popularity, {', '.join(f'round(v[{k + 1}], 4) + 0.0 AS {f}' for k, f in enumerate(mood.FEATURES))} FROM kept""",
+    "matrix_dataset": "WITH m(vec_id, a, b, c) AS (VALUES "
+    + ", ".join(f"({k}, {a}, {b}, {c})" for k, (a, b, c) in enumerate(MATRIX))
+    + ") SELECT CAST(vec_id AS BIGINT) AS vec_id, round(CAST((a - (SELECT avg(a) FROM m)) / (SELECT stddev_pop(a) FROM m) AS FLOAT)::DOUBLE, 5) + 0.0 AS f0, 0.0::DOUBLE AS f1, "
+    "round(CAST((c - (SELECT avg(c) FROM m)) / (SELECT stddev_pop(c) FROM m) AS FLOAT)::DOUBLE, 5) + 0.0 AS f2 FROM m",
     "genre_list": "SELECT DISTINCT track_genre FROM spotify_tracks WHERE track_genre IS NOT NULL",
     "filtered_tracks": f"SELECT row_id, track_genre, popularity FROM spotify_tracks WHERE track_genre IN ({_IN}) AND popularity >= 40",
     "mood_tokens": _MOOD + "SELECT CAST(qid AS BIGINT) AS qid, term, count(*) AS n FROM fired GROUP BY qid, term",

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions.metrics import distance, similarity
-from nearfield.operators.evaluate import compare_kernels, recall_at_k, results_frame, run_benchmark
+from nearfield.operators.evaluate import BenchResult, compare_kernels, load_results, markdown, recall_at_k, results_frame, run_benchmark, save_results
 from nearfield.operators.exact import as_queries, exact_knn, expression_knn
 from nearfield.operators.hnsw import HNSWIndex
 from nearfield.operators.ivf import IVFIndex, probe
@@ -199,6 +198,46 @@ def hnsw_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hnsw(spark, sf_dir)[0].stats()
 
 
+def hnsw_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether searches with the default beam find nine tenths of the true neighbours, with and without a filter."""
+    index, e = _hnsw(spark, sf_dir)
+    out, by_label = None, e.where(_by_label(spark, sf_dir)).select("vec_id")
+    for name, allowed in (("all", None), ("labels", by_label)):
+        truth = exact_knn(spark, as_queries(e), e, K, allowed=allowed)
+        row = recall_at_k(truth, index.search(spark, as_queries(e), K, allowed=allowed)).agg(F.count("*").alias("n_queries"), (F.avg("recall") >= 0.9).alias("reached"))
+        row = row.select(F.lit(name).alias("allowed"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def hnsw_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of the graph, and whether degrees and levels keep their bounds."""
+    index, _ = _hnsw(spark, sf_dir)
+    return index.stats().select("n", (F.col("levels") >= 1).alias("has_levels"), (F.col("max_degree") <= 2 * index.m).alias("within_degree"), (F.col("avg_degree") >= 2).alias("linked"))
+
+
+def kmeans_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations in as many k-means++ clusters as there are regions, which lie far apart; a cluster is named by its least nation."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("vec_id"), F.array(F.col("n_regionkey") * 100.0, F.col("n_nationkey") * 0.01).cast("array<float>").alias("embedding"))
+    cells = KMeans(5, n_init=3, seed=1).fit_predict(spark, nations)
+    least = cells.groupBy("cell").agg(F.min("vec_id").alias("first"), F.count("*").alias("size"))
+    return cells.join(least, "cell").select(F.col("vec_id").alias("n_nationkey"), "first", "size")
+
+
+RESULTS = [
+    BenchResult("brute", {}, 20_000, 9, 10, 0.0, 0.5, 0.75, 2000.0, 1.0, 0.72),
+    BenchResult("ivf", {"nlist": 141, "nprobe": 4}, 20_000, 9, 10, 0.8125, 0.0625, 0.125, 16000.0, 0.9604, 0.89, {"empty_cells": 0}),
+]
+
+
+def bench_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written and read again, with their lines of the report."""
+    path = new_path(spark, "bench")
+    save_results(spark, RESULTS, path)
+    lines = spark.createDataFrame(list(zip((r.index for r in RESULTS), markdown(RESULTS).splitlines()[2:])), "index string, line string")
+    return load_results(spark, f"{path}/json").join(lines, "index").select("index", "params", "n", F.col("d").cast("int").alias("d"), "recall_at_k", "qps", "line")
+
+
 def hnsw_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, e = _hnsw(spark, sf_dir)
     path = new_path(spark, "hnsw")
@@ -267,6 +306,10 @@ QUERIES = {
     "hnsw_filtered": hnsw_filtered,
     "hnsw_selective": hnsw_selective,
     "hnsw_stats": hnsw_stats,
+    "hnsw_recall": hnsw_recall,
+    "hnsw_shape": hnsw_shape,
+    "kmeans_regions": kmeans_regions,
+    "bench_saved": bench_saved,
     "hnsw_saved": hnsw_saved,
     "benchmark_report": benchmark_report,
     "stream_assign": stream_assign,
@@ -332,6 +375,12 @@ truth AS ({best('x', K)})
 SELECT t.qid, round(count(f.vec_id) / CAST(count(*) AS DOUBLE), 6) AS recall FROM truth t LEFT JOIN found f ON f.qid = t.qid AND f.vec_id = t.vec_id GROUP BY t.qid""",
     "latency_percentile": "SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean FROM events GROUP BY event_type",
     "hnsw_full_beam": f"WITH {VECTORS},\n{knn(_L2, K)}",
+    "hnsw_recall": f"SELECT 'all' AS allowed, count(*) AS n_queries, true AS reached FROM embeddings UNION ALL SELECT 'labels', count(*), true FROM embeddings",
+    "hnsw_shape": "SELECT count(*) AS n, true AS has_levels, true AS within_degree, true AS linked FROM embeddings",
+    "kmeans_regions": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(min(n_nationkey) OVER (PARTITION BY n_regionkey) AS BIGINT) AS first, count(*) OVER (PARTITION BY n_regionkey) AS size FROM nation",
+    "bench_saved": """SELECT * FROM (VALUES
+  ('brute', '', CAST(20000 AS BIGINT), CAST(9 AS INTEGER), CAST(1.0 AS DOUBLE), CAST(2000.0 AS DOUBLE), '| brute | — | 1.000 | 0.500 | 0.750 | 2000 | 0.00 | 0.72 |'),
+  ('ivf', 'nlist=141, nprobe=4', 20000, 9, 0.9604, 16000.0, '| ivf | nlist=141, nprobe=4 | 0.960 | 0.062 | 0.125 | 16000 | 0.81 | 0.89 |')) AS t(index, params, n, d, recall_at_k, qps, line)""",
     "hnsw_selective": f"WITH {VECTORS}, few AS (SELECT * FROM e WHERE {_FEW}),\n{knn(_L2, K, 'few')}",
     "stream_assign": f"{_LLOYD} SELECT vec_id, cell FROM a{STEPS}",
 }
