@@ -206,4 +206,10 @@ def p9_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_mixture": p9_mixture, "p9_report": p9_report, "p9_overlap": p9_overlap}
-SQL: dict[str, str] = {}
+# Characters stand for tokens: which sources are short is the same by both.
+SQL = {
+    "p9_found": """
+WITH own AS (SELECT source, sum(length(text)) AS n FROM documents GROUP BY source)
+SELECT t.source FROM source_targets t LEFT JOIN own o ON o.source = t.source
+WHERE coalesce(o.n, 0) * t.max_repeats < t.target_share * (SELECT sum(length(text)) FROM documents)""",
+}

@@ -190,4 +190,5 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p8_found": p8_found, "p8_bins": p8_bins, "p8_report": p8_report}
-SQL: dict[str, str] = {}
+# A token has about four characters, and texts are either far shorter or far longer than a container.
+SQL = {"p8_found": f"SELECT doc_id FROM documents WHERE length(text) > 4 * {CAPACITIES[-1]}"}
