@@ -147,6 +147,19 @@ def test_stable_sample(spark):
     assert numbers == list(range(2000))
 
 
+def test_kept_numbers_stand_whatever_arrives(spark):
+    rows = arrivals(spark, 2000)
+    numbers = sequence_numbers(spark, rows, "item", "at")
+    one = {r["item"] for r in golden_sample(spark, rows, "item", "at", 0.1, known=numbers).collect()}
+    early = spark.createDataFrame([("before all", 0), ("t7919", 0)], "item string, s long").select("item", F.timestamp_seconds(F.col("s") - 900).alias("at"))
+    tie = rows.limit(1).select(F.lit(" first of equals").alias("item"), "at")
+    more = rows.unionByName(early).unionByName(tie).unionByName(arrivals(spark, 3000, 2000))
+    again = sequence_numbers(spark, more, "item", "at", numbers)
+    assert sorted(r["seq"] for r in again.collect()) == list(range(3002))
+    assert one <= {r["item"] for r in golden_sample(spark, more, "item", "at", 0.1, known=numbers).collect()}
+    assert sequence_numbers(spark, rows, "item", "at", numbers.limit(0)).count() == 2000
+
+
 def test_stable_sample_edges(spark):
     df = spark.createDataFrame([(None, None), ("a", None)], "item string, at timestamp").union(arrivals(spark, 5))
     assert golden_sample(spark, df, "item", "at", 1.0).count() == 5 and golden_sample(spark, df, "item", "at", 0.0).count() == 0
