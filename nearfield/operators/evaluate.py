@@ -95,11 +95,13 @@ def run_benchmark(
     ksub: int | None = None,
     with_graph: bool = True,
     repeats: int = 3,
+    shard_rows: int | None = None,
 ) -> list[BenchResult]:
     """Sweeps of all indexes; an index is built once for its sweep.
 
     Unless stated there are sqrt(n) cells, and product codes of 8 parts from 16
     dimensions on, else a third of the dimensions, with n / 4 entries, 256 at most.
+    ``shard_rows`` is that of the graph index.
     """
     from nearfield.operators.exact import exact_knn
     from nearfield.operators.hnsw import HNSWIndex
@@ -122,7 +124,7 @@ def run_benchmark(
     for nprobe in nprobes:
         out.append(measure("ivf", {"nlist": nlist, "nprobe": nprobe}, work, seconds, ivf.memory_bytes(), lambda p=nprobe: ivf.search(spark, queries, k, p), ivf.shape()))
     if with_graph:
-        graph, seconds = built(lambda: HNSWIndex().build(spark, corpus))
+        graph, seconds = built(lambda: HNSWIndex(**({} if shard_rows is None else {"shard_rows": shard_rows})).build(spark, corpus))
         for ef in efs:
             out.append(measure("hnsw", {"M": graph.m, "ef": ef}, work, seconds, graph.memory_bytes(), lambda e=ef: graph.search(spark, queries, k, e), graph.shape()))
     codes, seconds = built(lambda: IVFPQIndex(nlist, m, ksub).build(spark, corpus, keep_vectors=True))

@@ -19,8 +19,10 @@ from nearfield.operators.ivf import probe
 from nearfield.operators.kmeans import KMeans, nearest_center
 from nearfield.sources.tables import materialise
 
-#: Vectors a shard's graph is built of in one task, and how many shards' cells a query asks.
-SHARD_ROWS, SHARD_PROBES = 10_000, 8
+#: Vectors a shard's graph is built of in one task: as many as give every core a shard, within these.
+LEAST_SHARD_ROWS, SHARD_ROWS = 500, 10_000
+#: How many cells of shards a query asks.
+SHARD_PROBES = 8
 SHARD_ITERATIONS = 10
 #: Queries that walk a shard's graph in one task, and tasks a shard has at most.
 CHUNK_QUERIES, MAX_CHUNKS = 500, 64
@@ -129,7 +131,7 @@ class Packed:
 
 
 class HNSWIndex:
-    """A graph per shard of about ``shard_rows`` vectors at most; the shards near a query answer, the best of all are kept.
+    """A graph per shard of at most ``shard_rows`` vectors; the shards near a query answer, the best of all are kept.
 
     Inserting is sequential, so shards are what runs in parallel; one shard is the plain
     algorithm. More are cells of a k-means, a cell with too many vectors being cut by
@@ -140,7 +142,7 @@ class HNSWIndex:
     is not found.
     """
 
-    def __init__(self, m: int = 16, ef_construction: int = 200, ef_search: int = 50, metric: str = "l2", seed: int = 0, shard_rows: int = SHARD_ROWS, shard_probes: int = SHARD_PROBES):
+    def __init__(self, m: int = 16, ef_construction: int = 200, ef_search: int = 50, metric: str = "l2", seed: int = 0, shard_rows: int | None = None, shard_probes: int = SHARD_PROBES):
         self.m, self.ef_construction, self.ef_search = m, ef_construction, ef_search
         self.metric, self.seed, self.shard_rows, self.shard_probes = check_metric(metric), seed, shard_rows, shard_probes
         self.scale = 1 / math.log(m) if m > 1 else 1.0
@@ -157,14 +159,15 @@ class HNSWIndex:
         self.dim = dimension(corpus, "embedding")
         rows = corpus.where(usable(F.col("embedding"), self.dim)).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").dropDuplicates(["vec_id"])
         self.n = rows.count()
-        cells = max(1, -(-self.n // self.shard_rows))
+        most = self.shard_rows or max(LEAST_SHARD_ROWS, min(SHARD_ROWS, -(-self.n // spark.sparkContext.defaultParallelism)))
+        cells = max(1, -(-self.n // most))
         if cells > 1:
             rows = materialise(spark, rows, "vectors")
             model = KMeans(cells, SHARD_ITERATIONS, 1e-4, 1, "k-means++", self.seed).fit(spark, rows, self.dim)
             self.centers, counts = model.centers, model.counts
         else:
             self.centers, counts = np.zeros((1, self.dim)), np.array([self.n])
-        cut = spark.sparkContext.broadcast((self.centers, np.maximum(-(-counts // self.shard_rows), 1)))
+        cut = spark.sparkContext.broadcast((self.centers, np.maximum(-(-counts // most), 1)))
         dim, m, width, metric, seed, scale = self.dim, self.m, self.ef_construction, self.metric, self.seed, self.scale
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,26 +11,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions.arrays import dense, dimension, usable
-from nearfield.functions.metrics import block_sq
 
 #: Vectors that k-means++ seeds from.
 SEED_ROWS = 20_000
 #: Vectors of at most so many bytes in all are iterated over in memory, more in passes.
 LOCAL_BYTES = 64 << 20
 #: Centres meet a batch in blocks of at most so many distances.
-CELLS = 1 << 23
+CELLS = 1 << 19
 
 
 def plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """Seeds drawn with probability as their squared distance to the nearest earlier one."""
-    chosen = [int(rng.integers(len(x)))]
-    d = ((x - x[chosen[0]]) ** 2).sum(1)
-    while len(chosen) < k:
-        total = d.sum()
-        chosen.append(int(np.searchsorted(np.cumsum(d), rng.random() * total, side="right")) if total > 0 else int(rng.integers(len(x))))
-        chosen[-1] = min(chosen[-1], len(x) - 1)
-        d = np.minimum(d, ((x - x[chosen[-1]]) ** 2).sum(1))
-    return x[chosen]
+    norms = (x**2).sum(1)
+    least = 1e-12 * max(float(norms.max(initial=0.0)), 1e-300)  # below it a distance is rounding
+    chosen, d = [int(rng.integers(len(x)))], np.full(len(x), np.inf)
+    while True:
+        new = norms - 2 * (x @ x[chosen[-1]]) + norms[chosen[-1]]
+        d = np.minimum(d, np.where(new > least, new, 0))
+        d[chosen[-1]] = 0
+        if len(chosen) == k:
+            return x[chosen]
+        upto = np.cumsum(d)
+        chosen.append(min(int(np.searchsorted(upto, rng.random() * upto[-1], side="right")), len(x) - 1) if upto[-1] > 0 else int(rng.integers(len(x))))
 
 
 @dataclass
@@ -104,9 +106,12 @@ class KMeans:
 def nearest_center(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest centre of each row, the lowest of equal ones, and the squared distance."""
     cell, step = np.empty(len(x), np.int64), max(1, CELLS // len(centers))
+    twice, norms = -2 * centers.T, (centers**2).sum(1)
     for at in range(0, len(x), step):
-        d = block_sq(x[at : at + step], centers)
-        cell[at : at + step] = (d <= d.min(1, keepdims=True) + 1e-12).argmax(1)
+        d = x[at : at + step] @ twice
+        d += norms
+        d -= d.min(1, keepdims=True)
+        cell[at : at + step] = (d <= 1e-12).argmax(1)
     return cell, ((x - centers[cell]) ** 2).sum(1)
 
 
