@@ -21,17 +21,17 @@ from nearfield.sources.tables import materialise, table
 #: each part at most; every vector is indexed.
 SAMPLE = 16_384
 #: Distinct vectors a partition is meant to hold, and vectors of a sample that a partition needs.
-PART_ROWS, PART_SAMPLE = 400, 16
-#: Levels fitted at once, and at all: beyond 4e8 distinct vectors partitions grow and are shared among tasks.
+PART_ROWS, PART_SAMPLE = 600, 16
+#: Levels fitted at once, and at all: beyond 6e8 distinct vectors partitions grow and are shared among tasks.
 LEVELS, MOST_LEVELS = 9, 20
 #: Partitions that travel together, so that a vector is sent once for all it probes of them; and the least number of such blocks' levels.
 BLOCK_LEVELS, LEAST_BLOCK_LEVELS = 7, 4
-#: Vectors, and half the queries, of a block that meet in one task; larger ones are cut into shares.
+#: Vectors of a block, and ``QUERY_SHARE`` times as many queries, that meet in one task; larger ones are cut into shares.
 TASK_ROWS = 60_000
-QUERY_ROWS = 4_096
+QUERY_SHARE, QUERY_ROWS = 8, 4_096
 BLOCK = 1 << 22
-#: Partitions probed unless stated: a tenth of all, between these.
-LEAST_PROBES, MOST_PROBES = 12, 24
+#: Partitions probed unless stated: a tenth of all, between these; with a radius, which rules out most, not so many.
+LEAST_PROBES, MOST_PROBES, RADIUS_PROBES = 12, 64, 24
 #: Neighbours of a record that ``p3_found`` and ``p3_nearest`` give.
 K_FOUND, K_NEAREST = 5, 10
 
@@ -100,8 +100,8 @@ def _near(x: np.ndarray, base: np.ndarray, k: int, most: float | None) -> tuple[
     return i, j, d
 
 
-def default_probes(partitions: int) -> int:
-    return min(partitions, MOST_PROBES, max(LEAST_PROBES, partitions // 10))
+def default_probes(partitions: int, most: float | None) -> int:
+    return min(partitions, MOST_PROBES if most is None else RADIUS_PROBES, max(LEAST_PROBES, partitions // 10))
 
 
 def neighbours(
@@ -132,7 +132,7 @@ def neighbours(
     n = groups.count() if n is None else n
     router = fit_router(groups, n, dim, kind) if router is None else router
     depth, shared = router.depth, spark.sparkContext.broadcast(router)
-    probes = default_probes(2**depth) if probes is None else min(probes, 2**depth)
+    probes = default_probes(2**depth, most) if probes is None else min(probes, 2**depth)
     low = max(0, min(BLOCK_LEVELS, depth - LEAST_BLOCK_LEVELS))
 
     def places(v: pa.Array, sought: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -183,7 +183,7 @@ def neighbours(
 
     sizes = asked.select("v", "sought").mapInArrow(occupy, "block int, vectors long, queries long").groupBy("block").agg(F.sum("vectors").alias("vectors"), F.sum("queries").alias("queries"))
     shares = lambda column, rows: F.greatest(F.ceil(F.col(column) / rows), F.lit(1)).cast("int")
-    large = sizes.select("block", shares("vectors", TASK_ROWS).alias("bs"), shares("queries", 2 * TASK_ROWS).alias("qs")).where("bs * qs > 1").collect()  # at most one row a block
+    large = sizes.select("block", shares("vectors", TASK_ROWS).alias("bs"), shares("queries", QUERY_SHARE * TASK_ROWS).alias("qs")).where("bs * qs > 1").collect()  # at most one row a block
     if large:
         cut = routed.join(F.broadcast(spark.createDataFrame(large, "block int, bs int, qs int")), "block", "left").withColumns({"bs": F.coalesce("bs", F.lit(1)), "qs": F.coalesce("qs", F.lit(1))})
         mine_b, mine_q = F.pmod(F.xxhash64("gid"), F.col("bs")), F.pmod(F.xxhash64("gid", F.lit(2)), F.col("qs"))
@@ -292,8 +292,8 @@ def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per table, the share of the true neighbours found, for every id divisible by 50 against all.
 
     ``within`` is null for the ten nearest at any distance, as ``p3_nearest`` seeks them,
-    and R for the five nearest within R, as ``p3_found`` does; both searches have the same
-    ``partitions`` and ``probes``. Neighbours are records, copies among them, and
+    and R for the five nearest within R, as ``p3_found`` does; ``partitions`` and
+    ``probes`` are those of these queries. Neighbours are records, copies among them, and
     ``n_queries`` counts the ids with any; without one, ``recall`` is null.
     """
     out = None
@@ -319,7 +319,7 @@ def recall(spark: SparkSession, df: DataFrame, id_column: str, vector: Column, d
         got = _records(wanted, groups, near, k).select("id", "neighbour", F.lit(1).alias("hit"))
         hit = every_one.join(got, ["id", "neighbour"], "left")
         row = hit.agg(F.countDistinct("id").alias("n_queries"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"))
-        row = row.select(F.lit(within).cast("double").alias("within"), F.lit(2**router.depth).alias("partitions"), F.lit(default_probes(2**router.depth)).alias("probes"), "*")
+        row = row.select(F.lit(within).cast("double").alias("within"), F.lit(2**router.depth).alias("partitions"), F.lit(default_probes(2**router.depth, within)).alias("probes"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -36,6 +36,7 @@ def test_copies_and_ties(spark):
 
 def test_shares_of_large_partitions(spark, monkeypatch):
     monkeypatch.setattr(similar, "TASK_ROWS", 30)
+    monkeypatch.setattr(similar, "QUERY_SHARE", 2)
     monkeypatch.setattr(similar, "PART_ROWS", 60)  # one block of eight partitions, in shares of vectors and of queries
     monkeypatch.setattr(similar, "LEAST_PROBES", 8)
     monkeypatch.setattr(similar, "LEAST_BLOCK_LEVELS", 0)
