@@ -67,8 +67,8 @@ def told(spark, *texts):
 def test_moods(spark):
     chill, party, rainy, none, both, null = told(spark, "chill", "Energetic PARTY", "music for a rainy day", "zzxqq", "happy sad", None)
     assert chill["targets"]["energy"] == 0.25 and party["targets"]["energy"] > 0.8
-    assert rainy["matched"] == ["rainy"] and rainy["targets"]["energy"] == pytest.approx(0.3)
-    assert none["matched"] == [] and none["explanation"] == mood.UNMATCHED and none["raw_vector"] == list(mood.NEUTRAL.values())
+    assert rainy["matched"] == ["rainy day", "rainy"] and rainy["targets"]["energy"] == pytest.approx(0.3)
+    assert none["matched"] == [] and none["explanation"] == mood.UNMATCHED_TEXT and none["raw_vector"] == list(mood.NEUTRAL.values())
     assert both["targets"]["valence"] == pytest.approx((0.9 + 0.12) / 2) and null["matched"] == []
     assert chill["explanation"] == "Matched 'chill' → target energy≈0.25, valence≈0.50, acousticness≈0.60, tempo≈95 BPM."
 
